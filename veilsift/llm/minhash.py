@@ -10,13 +10,16 @@ out) meets **every** pair within distance ``T``.  Pairs within ``T`` are confirm
 their full shingle sets.
 
 No bucket is expanded into all its pairs.  Equal sets are one class.  Round one
-compares each bucket's members with its smallest only; round two compares only
-members of one bucket that the confirmed links of round one left in different
-components, which is all that connected components can still depend on.
+compares each bucket's members with its smallest, their head, only.  Round two looks at members
+under one head that the confirmed links of round one left in different components, which is
+all that connected components can still depend on: pairs within ``T`` are found block
+against block and leave only the edges that span them; the clusters so spanned are then
+compared on full sets, again block against block, and leave only the links that join components.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from math import comb
@@ -24,12 +27,15 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_limits, components, durable, map_batches, text_bytes
 
 MAX_HASHES = 96
+#: Rows of a block; a task compares two blocks of a large group, by signatures or by full sets.
+SIGNATURE_BLOCK = 1024
+BLOCK = 256
 CACHED_WORDS = 400_000
 _U = np.uint64
 
@@ -163,13 +169,159 @@ def _near(pairs: DataFrame, classes: DataFrame, plan: SignaturePlan) -> DataFram
     both = pairs.join(sigs.toDF("a", "sa"), "a").join(sigs.toDF("b", "sb"), "b")
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sa, sb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, plan.hashes) for i in (2, 3))
+        sa, sb = (_matrix(batch.column(i), plan) for i in (2, 3))
         keep = pa.array((sa != sb).sum(axis=1) <= plan.distance)
         return batch.select(["a", "b"]).filter(keep)
 
     return map_batches(both.select("a", "b", "sa", "sb"), fn, "a long, b long")
 
 
+def _matrix(column: pa.Array | pa.ChunkedArray, plan: SignaturePlan) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, plan.hashes)
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, list[tuple[int, int]]]]:
+    """Tables with the ``(start, end)`` of their groups, from rows sorted by ``keys``."""
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if held is None else pa.concat_tables([held, table]).combine_chunks()
+        columns = [table.column(k).to_numpy() for k in keys]
+        new = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+        ends = (np.flatnonzero(new) + 1).tolist()
+        if ends:
+            yield table, list(zip([0, *ends[:-1]], ends))
+        held = table.slice(ends[-1] if ends else 0)
+    if held is not None and held.num_rows:
+        yield held.combine_chunks(), [(0, held.num_rows)]
+
+
+def _in_block_pairs(rows: DataFrame, keys: list[str], blocks: Column, block: Column, member: str) -> DataFrame:
+    """``rows`` of large groups dealt to the pairs of their blocks, sorted by group and member.
+
+    A group of ``B`` blocks becomes ``B (B + 1) / 2`` groups ``(keys, lo, hi)``, so that all of
+    its pairs meet while no task holds more than two blocks of it.
+    """
+    dealt = rows.withColumns({"blk": block.cast("int"), "_other": F.explode(F.sequence(F.lit(0), blocks.cast("int") - 1))})
+    dealt = dealt.withColumns({"lo": F.least("blk", "_other"), "hi": F.greatest("blk", "_other")}).drop("_other")
+    order = [*keys, "lo", "hi"]
+    return dealt.repartition(*order).sortWithinPartitions(*order, member)
+
+
+def _suspects(members: DataFrame, plan: SignaturePlan, num: int, den: int) -> DataFrame:
+    """Edges ``(a, b)`` that span every pair of one bucket that may link two components.
+
+    ``members``: ``head, id, n, component, sig``, each member once under the head of its buckets.  A
+    suspect pair is within the signature distance and of fitting set sizes.  Per pair of blocks at
+    most one edge per member comes out, to the smallest member that it is connected with.
+    """
+    per_head = members.groupBy("head").agg(
+        F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("m")
+    )
+    mixed = per_head.where("x < y").select("head", F.ceil(F.col("m") / SIGNATURE_BLOCK).alias("blocks"))
+    rows = members.join(mixed, "head")
+    dealt = _in_block_pairs(rows, ["head"], F.col("blocks"), F.pmod(F.xxhash64("id"), F.col("blocks")), "id")
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, groups in _runs(batches, ["head", "lo", "hi"]):
+            ids, ns, comps, blks = (table.column(c).to_numpy() for c in ("id", "n", "component", "blk"))
+            sigs = _matrix(table.column("sig"), plan)
+            a, b = [], []
+            for s, e in groups:
+                c, n, g, k = comps[s:e], ns[s:e], sigs[s:e], blks[s:e]
+                open_pairs = np.triu(c[:, None] != c)
+                if k.min() != k.max():  # pairs of one block meet in that block's own group
+                    open_pairs &= k[:, None] != k
+                open_pairs &= den * np.minimum(n[:, None], n) >= num * np.maximum(n[:, None], n)
+                x, y = np.nonzero(open_pairs)
+                if not len(x):
+                    continue
+                step = 1 << 16
+                near = [(g[x[i : i + step]] != g[y[i : i + step]]).sum(axis=1) <= plan.distance for i in range(0, len(x), step)]
+                near = np.concatenate(near)
+                for u, v in _stars(e - s, x[near], y[near]):
+                    a.append(ids[s + u])
+                    b.append(ids[s + v])
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return dealt.select("head", "lo", "hi", "blk", "id", "n", "component", "sig").mapInArrow(fn, "a long, b long")
+
+
+def _stars(size: int, x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
+    """Edges from the first member of each component of the graph ``(x, y)`` to its others."""
+    root = list(range(size))
+
+    def find(u: int) -> int:
+        while root[u] != u:
+            root[u] = root[root[u]]
+            u = root[u]
+        return u
+
+    for u, v in zip(x.tolist(), y.tolist()):
+        p, q = find(u), find(v)
+        if p != q:
+            root[max(p, q)] = min(p, q)
+    return [(find(u), u) for u in range(size) if root[u] != u]
+
+
+def _links_in_clusters(clusters: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Confirmed links between different components inside each cluster.
+
+    ``clusters``: ``cluster, id, component``.  All open pairs of a cluster are compared on their full
+    sets, block against block; what comes out spans the components' links.
+    """
+    sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"))
+    sized = clusters.join(sizes.select("cluster", F.ceil(F.col("m") / BLOCK).alias("blocks")), "cluster")
+    texts = docs.select("doc_id", text_bytes().alias("t")).join(sized.withColumnRenamed("id", "doc_id"), "doc_id")
+    dealt = _in_block_pairs(texts, ["cluster"], F.col("blocks"), F.pmod(F.xxhash64("component"), F.col("blocks")), "doc_id")
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, groups in _runs(batches, ["cluster", "lo", "hi"]):
+            comps, blks = table.column("component").to_numpy(), table.column("blk").to_numpy()
+            ids, texts = table.column("doc_id").to_numpy(), table.column("t")
+            a, b = [], []
+            for s, e in groups:
+                c, k = comps[s:e], blks[s:e]
+                open_pairs = np.triu(c[:, None] != c)
+                if k.min() != k.max():  # pairs of one block meet in that block's own group
+                    open_pairs &= k[:, None] != k
+                if not open_pairs.any():
+                    continue
+                sets = [shingle_set(t, width) for t in texts.slice(s, e - s).to_pylist()]
+                n = np.array([len(x) for x in sets])
+                shared = _intersections(sets)
+                x, y = np.nonzero(open_pairs & (den * shared >= num * (n[:, None] + n - shared)))
+                names, at = np.unique(c, return_inverse=True)
+                for u, v in _stars(len(names), at[x], at[y]):
+                    a.append(names[u])
+                    b.append(names[v])
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return dealt.select("cluster", "lo", "hi", "blk", "doc_id", "component", "t").mapInArrow(fn, "a long, b long")
+
+
+def _intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all pairwise intersections, over the shingles that two sets or more hold."""
+    values, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    common = count > 1
+    number = np.cumsum(common) - 1
+    keep = common[column]
+    row, column = row[keep], number[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(sets), len(sets)), np.float64)
+    step = 4096
+    for low in range(0, int(common.sum()), step):
+        part = slice(np.searchsorted(column, low), np.searchsorted(column, low + step))
+        held = np.zeros((len(sets), step), np.float32)
+        held[row[part], column[part] - low] = 1
+        out += held @ held.T
+    return np.rint(out).astype(np.int64)
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Pairs with ``den * |A and B| >= num * |A or B|`` on their full shingle sets."""
     # Only texts that a pair names are shuffled with the pairs.
@@ -218,35 +370,26 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
         .where("head.id < last")
         .select("key", "head")
     )
-    members = durable(keys.join(heads, "key"), "members")
-
-    def fits(x: str, y: str) -> str:
-        return f"{den} * least({x}, {y}) >= {num} * greatest({x}, {y})"
-
-    first = (
-        members.where(f"id <> head.id and {fits('n', 'head.n')}")
-        .select(F.col("head.id").alias("a"), F.col("id").alias("b"))
-        .distinct()
+    # Whoever shares a bucket shares its head, so a member need stand under each head once only.
+    members = keys.join(heads, "key").select(
+        F.col("head.id").alias("head"), F.col("head.n").alias("head_n"), "id", "n"
     )
+    members = durable(members.distinct(), "members")
+    fits = f"{den} * least(n, head_n) >= {num} * greatest(n, head_n)"
+    first = members.where(f"id <> head and {fits}").select(F.col("head").alias("a"), F.col("id").alias("b"))
     near = durable(_near(first, classes, plan), "near")
     links = durable(_confirmed(near, docs, width, num, den), "links")
     labels = components(links)
 
-    labelled = members.select("key", "id", "n").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    labelled = durable(labelled, "labelled")
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    open_rows = labelled.join(mixed, "key", "left_semi")
-    x, y = open_rows.alias("x"), open_rows.alias("y")
-    across = (
-        x.join(y, F.expr("x.key = y.key and x.component < y.component and " + fits("x.n", "y.n")))
-        .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
-        .distinct()
-        .join(near, ["a", "b"], "left_anti")
-    )
-    rest = durable(_near(across, classes, plan), "near")
-    if not rest.isEmpty():
-        links = links.unionByName(_confirmed(rest, docs, width, num, den))
-        labels = components(links)
+    # What round one left in different components under one head is compared in blocks.
+    labelled = members.select("head", "id", "n").join(labels, "id", "left").join(classes.select("id", "sig"), "id")
+    open_rows = labelled.withColumn("component", F.coalesce("component", "id"))
+    suspects = durable(_suspects(open_rows, plan, num, den).distinct(), "suspects")
+    if not suspects.isEmpty():
+        clusters = components(suspects).withColumnRenamed("component", "cluster")
+        named = clusters.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        more = durable(_links_in_clusters(named, docs, width, num, den), "links")
+        labels = components(links.unionByName(more))
 
     # A class is named by its smallest doc_id; a label by its component.
     named = prints.join(classes.select("f1", "f2", "id"), ["f1", "f2"], "left")
