@@ -10,13 +10,16 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
-from functools import lru_cache
+from functools import lru_cache, reduce
+from operator import or_
+from re import _constants as sre
+from re import _parser as sre_parser
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import has_non_ascii, is_blank
+from .text import bound, has_non_ascii, is_blank
 
 SPAN = "struct<rule:int,start:int,end:int,matched:string>"
 
@@ -38,15 +41,64 @@ def _append(rule: int):
     return step
 
 
+def needed_words(pattern: str) -> frozenset[str] | None:
+    """Lower-case strings of which every ASCII match holds one; null if the pattern tells none.
+
+    Of the parts that a match must pass through, the one with the longest shortest string.
+    """
+
+    def strings(nodes) -> set[str] | None:
+        out = {""}
+        for op, arg in nodes:
+            if op is sre.LITERAL:
+                one = {chr(arg).lower()}
+            elif op is sre.SUBPATTERN:
+                one = strings(arg[-1])
+            elif op is sre.BRANCH:
+                each = [strings(b) for b in arg[1]]
+                one = None if None in each else set().union(*each)
+            elif op is sre.IN and all(kind is sre.LITERAL for kind, _ in arg):
+                one = {chr(c).lower() for _, c in arg}
+            elif op is sre.AT:
+                one = {""}
+            else:
+                one = None
+            if one is None or len(out) * len(one) > 64:
+                return None
+            out = {a + b for a in out for b in one}
+        return out
+
+    best: frozenset[str] | None = None
+    run: set[str] = {""}
+    for node in [*sre_parser.parse(pattern), None]:
+        one = strings([node]) if node is not None else None
+        if one is not None and len(run) * len(one) <= 64:
+            run = {a + b for a in run for b in one}
+            continue
+        if min(map(len, run)) > max(2, min(map(len, best)) if best else 0):
+            best = frozenset(run)
+        run = one or {""}
+    return best
+
+
 def _native(text: Column, patterns: Sequence[str]) -> Column:
-    found = []
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
-    for rule, pattern in enumerate(patterns):
-        regex = F.lit(f"\\G(?s:(.*?))({java_pattern(pattern)})")
-        gaps, hits = (F.regexp_extract_all(text, regex, F.lit(k)) for k in (1, 2))
-        pairs = F.zip_with(gaps, hits, lambda g, m: F.struct(F.char_length(g).alias("gap"), m.alias("m")))
-        found.append(F.aggregate(pairs, start, _append(rule), lambda acc: acc["spans"]))
-    return F.concat(*found)
+    none = F.array().cast(f"array<{SPAN}>")
+    start = F.struct(F.lit(0).alias("at"), none.alias("spans"))
+
+    def all_rules(low: Column) -> Column:
+        found = []
+        for rule, pattern in enumerate(patterns):
+            regex = F.lit(f"\\G(?s:(.*?))({java_pattern(pattern)})")
+            gaps, hits = (F.regexp_extract_all(text, regex, F.lit(k)) for k in (1, 2))
+            pairs = F.zip_with(gaps, hits, lambda g, m: F.struct(F.char_length(g).alias("gap"), m.alias("m")))
+            spans = F.aggregate(pairs, start, _append(rule), lambda acc: acc["spans"])
+            words = needed_words(pattern)
+            if words:  # a plain search rules most texts out
+                spans = F.when(reduce(or_, (low.contains(w) for w in sorted(words))), spans).otherwise(none)
+            found.append(spans)
+        return F.concat(*found)
+
+    return bound(F.lower(text), all_rules)
 
 
 @lru_cache(maxsize=64)

@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -29,3 +29,12 @@ def ship_package(spark: SparkSession) -> None:
             archive.write(source, str(source.relative_to(root.parent)))
     spark.sparkContext.addPyFile(path)
     _SHIPPED.add(app)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if its scan gives fewer partitions than there are.
+
+    A small file is one task, however much work its rows are.  A large table keeps its scan as it is.
+    """
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= wanted else df.repartition(wanted)

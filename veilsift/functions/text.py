@@ -5,6 +5,8 @@ Java's ``\\s`` and ``trim`` differ from Unicode white space, so the class is spe
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,6 +35,14 @@ BIDI = {
 FORMAT = "[\\p{Cf}\\x{890}\\x{891}\\x{13439}-\\x{1343F}]"
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often ``use`` names it.
+
+    Inside a lambda a free expression would be evaluated for every element.
+    """
+    return F.transform(F.array(value), use)[0]
+
+
 def collapse(text: Column) -> Column:
     """Runs of white space as one space, none at the ends."""
     return F.trim(F.regexp_replace(text, f"{WS}+", " "))

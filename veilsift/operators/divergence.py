@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import bound
 from ..plans.model import FINDINGS, STAGES, finding
 
 #: Words of reconstructed evidence.
@@ -20,11 +21,17 @@ def tokens(text: Column) -> Column:
 
 
 def shingles(words: Column, width: int) -> Column:
-    """Distinct runs of ``width`` words; none if there are fewer words."""
-    runs = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(words) - width + 1, F.lit(1))), lambda i: F.slice(words, i, width)
-    )
-    return F.when(F.size(words) >= width, F.array_distinct(runs)).otherwise(F.array().cast("array<array<string>>"))
+    """Distinct runs of ``width`` words, joined by spaces; none if there are fewer words.
+
+    Words hold no character below the letters and digits, so joined runs sort as lists would.
+    """
+
+    def runs(w: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(w) - width + 1, F.lit(1)))
+        found = F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(w, i, width), " ")))
+        return F.when(F.size(w) >= width, found).otherwise(F.array().cast("array<string>"))
+
+    return bound(words, runs)
 
 
 def exploded(extractions: DataFrame, width: int) -> DataFrame:
@@ -43,14 +50,13 @@ def divergent(extractions: DataFrame, width: int) -> DataFrame:
 
 def reconstruct(sorted_shingles: Column, width: int) -> Column:
     """A readable text from sorted shingles: each adds its last word if that is new nearby."""
-    words = F.aggregate(
-        F.slice(sorted_shingles, 2, 2_000_000),
-        F.element_at(sorted_shingles, 1),
-        lambda acc, s: F.when(
-            F.array_contains(F.slice(acc, -width, width), F.element_at(s, -1)), acc
-        ).otherwise(F.concat(acc, F.array(F.element_at(s, -1)))),
-    )
-    return F.slice(words, 1, EVIDENCE_WORDS)
+
+    def add(acc: Column, shingle: Column) -> Column:
+        last = F.substring_index(shingle, " ", -1)
+        return F.when(F.array_contains(F.slice(acc, -width, width), last), acc).otherwise(F.concat(acc, F.array(last)))
+
+    first = F.split(F.element_at(sorted_shingles, 1), " ")
+    return F.slice(F.aggregate(F.slice(sorted_shingles, 2, 2_000_000), first, add), 1, EVIDENCE_WORDS)
 
 
 def divergence_layer(extractions: DataFrame, width: int = 8) -> DataFrame:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import BIDI, ZERO_WIDTH, collapse, count_of, first_of, has_non_ascii, is_blank, names_of, strip_invisible
+from ..functions.text import BIDI, ZERO_WIDTH, bound, collapse, count_of, first_of, has_non_ascii, is_blank, names_of, strip_invisible
 from ..plans.model import FINDINGS, STAGES, finding, no_findings
 
 # Alarm levels and the scripts that imitate Latin letters.
@@ -62,25 +62,27 @@ def mixed_words(text: Column) -> Column:
     return F.filter(named, lambda x: F.size(x["scripts"]) > 1)
 
 
-@F.pandas_udf("int")
-def _nfkc_delta(texts: pd.Series) -> pd.Series:
-    def delta(text: str | None) -> int:
-        if text is None:
-            return 0
-        normal = unicodedata.normalize("NFKC", text)
-        return sum(a != b for a, b in zip(text, normal)) + abs(len(text) - len(normal))
+def _moved(text: str) -> int:
+    normal = unicodedata.normalize("NFKC", text)
+    return sum(a != b for a, b in zip(text, normal)) + abs(len(text) - len(normal))
 
-    return texts.map(delta).astype("int32")
 
+def _deltas(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: 0 if t is None else _moved(t)).astype("int32")
 
-@F.pandas_udf("string")
-def _nfkc(texts: pd.Series) -> pd.Series:
+
+def _normal(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
+# The functions are wrapped on the driver only: workers import this module without a session.
+def _nfkc(text: Column) -> Column:
+    return F.pandas_udf(_normal, "string")(text)
+
+
 def nfkc_delta(text: Column) -> Column:
     """Characters that NFKC moves; only texts beyond ASCII are sent to Python."""
-    return _nfkc_delta(F.when(has_non_ascii(text), text))
+    return F.pandas_udf(_deltas, "int")(F.when(has_non_ascii(text), text))
 
 
 def normalize_for_screening(text: Column) -> Column:
@@ -89,21 +91,25 @@ def normalize_for_screening(text: Column) -> Column:
 
 def normalization_findings(text: Column, source: str, stream: int) -> Column:
     text = F.coalesce(text, F.lit(""))
-    words = mixed_words(text)
-    sample = F.transform(
-        F.slice(words, 1, 5), lambda x: F.concat(F.lit("'"), x["word"], F.lit("' ("), F.array_join(x["scripts"], "+"), F.lit(")"))
-    )
-    mixed = finding(
-        "normalization.mixed_script",
-        "unicode_trick",
-        "high",
-        F.concat(F.size(words).cast("string"), F.lit(" words mix scripts.")),
-        F.array_join(sample, ", "),
-        (STAGES["encoding"], 4, stream, 0, 0),
-        count=F.size(words),
-        words=F.array_join(F.transform(F.slice(words, 1, 20), lambda x: x["word"]), ","),
-        source=F.lit(source),
-    )
+
+    def mixed(words: Column) -> Column:
+        sample = F.transform(
+            F.slice(words, 1, 5),
+            lambda x: F.concat(F.lit("'"), x["word"], F.lit("' ("), F.array_join(x["scripts"], "+"), F.lit(")")),
+        )
+        f = finding(
+            "normalization.mixed_script",
+            "unicode_trick",
+            "high",
+            F.concat(F.size(words).cast("string"), F.lit(" words mix scripts.")),
+            F.array_join(sample, ", "),
+            (STAGES["encoding"], 4, stream, 0, 0),
+            count=F.size(words),
+            words=F.array_join(F.transform(F.slice(words, 1, 20), lambda x: x["word"]), ","),
+            source=F.lit(source),
+        )
+        return F.when(F.size(words) > 0, F.array(f)).otherwise(no_findings())
+
     delta = nfkc_delta(text)
     moved = finding(
         "normalization.nfkc_divergence",
@@ -115,8 +121,9 @@ def normalization_findings(text: Column, source: str, stream: int) -> Column:
         delta=delta,
         source=F.lit(source),
     )
+    # ASCII mixes no scripts and is always normal.
     found = F.concat(
-        F.when(F.size(words) > 0, F.array(mixed)).otherwise(no_findings()),
+        F.when(has_non_ascii(text), bound(mixed_words(text), mixed)).otherwise(no_findings()),
         F.when(delta >= NFKC_ALARM, F.array(moved)).otherwise(no_findings()),
     )
     return F.when(is_blank(text), no_findings()).otherwise(found.cast(FINDINGS))
