@@ -100,9 +100,9 @@ class Lattice:
             if piece in self.scores:
                 out.append(piece)
             else:
-                out += [f"<0x{b:02X}>" for b in piece.encode()]
+                out += [f"<0x{b:02X}>" for b in reversed(piece.encode())]
             at = back[at]
-        return out
+        return out[::-1]
 
 
 def words_of(text: bytes) -> list[bytes]:
