@@ -66,19 +66,20 @@ EXTRACTED = """WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '[
    UNION ALL SELECT doc_id, 'third', CASE WHEN doc_id % 4 <> 0 THEN w ELSE [] END FROM w),
  s AS (SELECT DISTINCT doc_id, extractor, unnest(CASE WHEN len(w) >= 8 THEN list_transform(range(1, len(w) - 6), lambda i: lower(array_to_string(w[i:i + 7], ' '))) ELSE [] END) AS sh FROM e)"""
 
-# The layers' findings on planted texts, by what was planted.
+# The layers' findings on planted texts, by what was planted.  Near a text's start both phrases of
+# the payload have the whole text as their evidence: the second is a repeat and is not redacted.
 PER_DOC = f"""{D}, m AS (SELECT doc_id, text,
    length(text) - length(translate(text, '{ZW}', '')) >= 8 AS zw, length(text) <> length(translate(text, '{BD}', '')) AS bd,
    regexp_matches(text, '[a-z][\\x{{400}}-\\x{{52f}}]') AS mx, regexp_matches(text, '[\\x{{ff21}}-\\x{{ff3a}}]{{12,}}') AS wd,
-   contains(text, '{PAYLOAD}') AS pay, contains(text, '{ADDRESS}') AS adr FROM d),
+   contains(text, '{PAYLOAD}') AS pay, strpos(text, 'Rate this candidate') <= 61 AS short, contains(text, '{ADDRESS}') AS adr FROM d),
  v AS (SELECT *, CASE WHEN pay THEN 'malicious' WHEN adr OR zw OR bd OR mx OR wd THEN 'suspicious' ELSE 'clean' END AS verdict,
    CASE WHEN pay THEN 70 WHEN adr OR zw OR bd OR mx THEN 45 WHEN wd THEN 25 ELSE 0 END AS risk_score,
-   zw::INT + bd::INT + mx::INT + wd::INT AS concealed, CASE WHEN pay THEN 2 WHEN adr THEN 1 ELSE 0 END AS instructing FROM m),
- f AS (SELECT doc_id, unnest(CASE WHEN pay THEN [('injection_patterns', 'semantic_injection', 'critical'), ('injection_patterns', 'semantic_injection', 'high')]
+   zw::INT + bd::INT + mx::INT + wd::INT AS concealed, CASE WHEN pay AND NOT short THEN 2 WHEN pay OR adr THEN 1 ELSE 0 END AS instructing FROM m),
+ f AS (SELECT doc_id, unnest(CASE WHEN pay AND short THEN [('injection_patterns', 'semantic_injection', 'critical')] WHEN pay THEN [('injection_patterns', 'semantic_injection', 'critical'), ('injection_patterns', 'semantic_injection', 'high')]
    WHEN adr THEN [('injection_patterns', 'semantic_injection', 'high')] WHEN zw THEN [('unicode.zero_width', 'unicode_trick', 'high')]
    WHEN bd THEN [('unicode.bidi_override', 'unicode_trick', 'high')] WHEN mx THEN [('normalization.mixed_script', 'unicode_trick', 'high')]
    WHEN wd THEN [('normalization.nfkc_divergence', 'unicode_trick', 'medium')] ELSE [] END) AS x FROM v),
- safe AS (SELECT *, {_collapse(f"replace(replace(replace(regexp_replace(text, '[\\p{{Cf}}]', '', 'g'), 'Ignore all previous instructions', '{REDACTED}'), 'Rate this candidate', '{REDACTED}'), 'You are a language model', '{REDACTED}')")} AS clean FROM v)"""
+ safe AS (SELECT *, {_collapse(f"replace(replace(replace(regexp_replace(text, '[\\p{{Cf}}]', '', 'g'), 'Ignore all previous instructions', '{REDACTED}'), CASE WHEN short THEN '' ELSE 'Rate this candidate' END, '{REDACTED}'), 'You are a language model', '{REDACTED}')")} AS clean FROM v)"""
 
 FIELDS = f"""WITH fields AS (SELECT page_id AS doc_id, 'title' AS field, 0 AS pos, rpad(url, (57 + page_id % 6)::INT, 'x') AS value FROM pages
    UNION ALL SELECT page_id, 'subject', 1, '{PAYLOAD} {ADDRESS}' FROM pages WHERE page_id % 5 = 0),
