@@ -95,7 +95,11 @@ def loaded(results: DataFrame, reject: bool = True, strict: bool = False) -> Dat
         bad = [r["doc_id"] for r in results.where("verdict = 'malicious'").select("doc_id").take(5)]
         if bad:
             raise RejectedDocument(bad)
-    kept = results.where("verdict <> 'malicious'") if reject else results
+    kept = results
+    if reject:
+        # A filter would be pushed into the plan below and evaluate the verdict's inputs anew.
+        row = F.when(F.col("verdict") != "malicious", F.array(F.struct("doc_id", "verdict", "risk_score", "findings", "sanitized_text")))
+        kept = results.select(F.explode(row).alias("r")).select("r.*")
     metadata = F.create_map(
         *(x for k in ("doc_id", "verdict", "risk_score") for x in (F.lit(k), F.col(k).cast("string"))),
         F.lit("findings_count"),
