@@ -144,3 +144,12 @@ SQL = {
     "technique_evaluation": f"""{PER_DOC} SELECT CASE WHEN doc_id % 20 = 11 THEN 'few' ELSE ['payload', 'zero_width', 'bidi', 'address', 'mixed', 'benign', 'wide', 'none', 'none', 'none'][(doc_id % 10 + 1)::INT] END AS technique,
       count(*) AS documents, count_if(verdict <> 'clean')::BIGINT AS flagged, count(*) AS "right" FROM v GROUP BY 1""",
 }
+SQL |= {
+    "pdf_sample_scan": """SELECT i::BIGINT AS doc_id, t AS technique, p AS is_poisoned, v AS verdict, s::INT AS risk_score, 1 AS pages FROM (VALUES
+      (0, 'clean', false, 'clean', 0), (1, 'dark_banner', false, 'clean', 0), (2, 'white_text', true, 'malicious', 78),
+      (3, 'tiny_font', true, 'malicious', 78), (4, 'invisible_render_mode', true, 'malicious', 78), (5, 'offpage', true, 'malicious', 78),
+      (6, 'metadata', true, 'malicious', 78), (7, 'annotation', true, 'malicious', 78), (8, 'visible_injection', true, 'malicious', 70)) g(i, t, p, v, s)""",
+    "pdf_round_trip": """WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+      n AS (SELECT doc_id, len(lines) AS n, list_filter(lines, lambda x: x <> '') AS shown FROM l)
+      SELECT doc_id, greatest(1, (n + 49) // 50)::BIGINT AS pages, len(shown)::BIGINT AS lines, md5(coalesce(array_to_string(shown, chr(10)), '')) AS text_md5, true AS readable FROM n""",
+}

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from ..functions.text import around, strip_invisible
 from ..operators import differential, divergence, encoding, metadata, reports, structure
 from ..plans.model import PHRASE_RULES, ScreenConfig
 from ..plans.screen import Relations, Screen, default_registry, findings_table
-from ..sources import files, fixtures
+from ..sources import files, fixtures, pdf, pdf_samples
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -37,6 +38,12 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet")
 
 
+def _as_pdf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        made = [pdf_samples.of_lines(t.as_py().split("\n")) for t in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["doc_id", "content"])
+
+
 def _spans(spark: SparkSession, sf_dir: str, suppress: bool) -> DataFrame:
     ship_package(spark)
     docs = fixtures.planted(spark, sf_dir)
@@ -373,3 +380,26 @@ def technique_evaluation(spark, sf_dir):
 
 
 TECHNIQUES = ("payload", "zero_width", "bidi", "address", "mixed", "benign", "wide", "none", "none", "none")
+
+
+@query
+def pdf_sample_scan(spark, sf_dir):
+    made = pdf_samples.sample_files(spark)
+    results = pdf.scan_files(made, _screen()).select("doc_id", "verdict", "risk_score", "pages")
+    return results.join(made.select("doc_id", "technique", "is_poisoned"), "doc_id")
+
+
+@query
+def pdf_round_trip(spark, sf_dir):
+    """Every document written as a PDF file and read back."""
+    ship_package(spark)
+    files_made = fixtures.documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    read = pdf.parse_files(files_made.mapInArrow(_as_pdf, "doc_id long, content binary"))
+    lines = F.array_join(F.transform("spans", lambda s: s["text"]), "\n")
+    return read.select(
+        "doc_id",
+        F.size("pages").cast("long").alias("pages"),
+        F.size("spans").cast("long").alias("lines"),
+        F.md5(lines).alias("text_md5"),
+        F.col("error").isNull().alias("readable"),
+    )

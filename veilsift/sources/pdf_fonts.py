@@ -132,6 +132,7 @@ class Font:
         matrix = file.numbers(info.get("FontMatrix"), 6)
         self.scale = matrix[0] if matrix and get(info.get("Subtype")) == "Type3" else 0.001
         self.known: dict[tuple[int, int], tuple[str, float, bool]] = {}
+        self.table: list[tuple[str, float, bool]] = []
         self._composite_widths(get, about) if self.composite else self._simple(get, about)
 
     def _simple(self, get, about: dict) -> None:
@@ -185,24 +186,27 @@ class Font:
         self.unicode_codes = isinstance(encoding, Name) and ("UCS2" in encoding or "UTF16" in encoding)
 
     def _code(self, raw: bytes, at: int) -> int:
-        """Bytes of the code at ``at``."""
-        if not self.composite:
-            return 1
+        """Bytes of the code of a composite font at ``at``."""
         for n, low, high in self.coding.spaces if self.coding else ():
             if low <= int.from_bytes(raw[at : at + n]) <= high and len(raw) - at >= n:
                 return n
         return 2
 
-    def glyphs(self, raw: bytes):
-        at = 0
+    def glyphs(self, raw: bytes) -> list[tuple[str, float, bool]]:
+        if not self.composite:
+            if not self.table:
+                self.table = [self._glyph(1, c) for c in range(256)]
+            return [self.table[c] for c in raw]
+        out, at, known = [], 0, self.known
         while at < len(raw):
             n = self._code(raw, at)
             code = int.from_bytes(raw[at : at + n])
-            found = self.known.get((n, code))
+            found = known.get((n, code))
             if found is None:
-                found = self.known[n, code] = self._glyph(n, code)
-            yield found
+                found = known[n, code] = self._glyph(n, code)
+            out.append(found)
             at += n
+        return out
 
     def _glyph(self, n: int, code: int) -> tuple[str, float, bool]:
         text = self.map.text(n, code) if self.map else None

@@ -16,7 +16,7 @@ from .pdf_objects import Name, PdfError, PdfFile, Stream, Syntax, Word
 #: Operators and glyphs of one document; more is an error, as forms can multiply without end.
 MAX_STEPS = 20_000_000
 MAX_FORMS = 16
-#: Gaps in ems: below the first, glyphs are of one word; below the second, of one run.
+#: Gaps in ems: below the first, characters are of one word; below the second, of one run.
 WORD_GAP, RUN_GAP = 0.2, 2.0
 INVISIBLE = 3
 
@@ -256,6 +256,7 @@ class Painter:
         length = math.hypot(to_page[0], to_page[1]) or 1.0
         direction = (to_page[0] / length, to_page[1] / length)
         unit = size * state.stretch or 1.0
+        tight = abs(state.char) + abs(state.word) <= 0.5 * WORD_GAP * abs(size)
         along = 0.0  # in text space
         for part in parts:
             if isinstance(part, (int, float)):
@@ -264,7 +265,16 @@ class Painter:
             if not isinstance(part, bytes):
                 continue
             self.step(len(part))
-            for char, width, spaced in font.glyphs(part):
+            glyphs = font.glyphs(part)
+            if tight:  # no glyph of the string can stand apart from the one before
+                shown = "".join([g[0] for g in glyphs])
+                length = sum([g[1] for g in glyphs]) * unit
+                extra = (len(glyphs) * state.char + sum([g[2] for g in glyphs]) * state.word) * state.stretch
+                if shown:
+                    self.glyph(shown, look, direction, points or 1.0, to_page, along / unit, (along + length + extra) / unit, font)
+                along += length + extra
+                continue
+            for char, width, spaced in glyphs:
                 advance = width * unit
                 if char:
                     a, b = along / unit, (along + advance) / unit
@@ -272,7 +282,7 @@ class Painter:
                 along += advance + (state.char + (state.word if spaced else 0.0)) * state.stretch
         return times((1, 0, 0, 1, along, 0), text)
 
-    def glyph(self, char: str, look: tuple, direction: tuple, em: float, m: Matrix, a: float, b: float, font: Font) -> None:
+    def glyph(self, chars: str, look: tuple, direction: tuple, em: float, m: Matrix, a: float, b: float, font: Font) -> None:
         start, end = apply(m, a, 0), apply(m, b, 0)
         corners = [apply(m, x, y) for x in (a, b) for y in (font.ascent, font.descent)]
         run = self.run_now
@@ -282,9 +292,9 @@ class Painter:
             off = abs(dx * direction[1] - dy * direction[0])
             turned = abs(direction[0] - run.direction[0]) + abs(direction[1] - run.direction[1])
             if off < 0.2 * em and turned < 0.01 and -0.5 * em < gap < RUN_GAP * em:
-                if gap > WORD_GAP * em and char != " " and run.text[-1] != " ":
+                if gap > WORD_GAP * em and chars[0] != " " and run.text[-1][-1] != " ":
                     run.text.append(" ")
-                run.text.append(char)
+                run.text.append(chars)
                 run.end = end
                 run.corners += corners
                 if len(run.corners) > 64:
@@ -292,7 +302,7 @@ class Painter:
                     run.corners = [(x0, y0), (x1, y1)]
                 return
         self.flush()
-        self.run_now = Run([char], look, start, end, direction, em, corners)
+        self.run_now = Run([chars], look, start, end, direction, em, corners)
 
     def flush(self) -> None:
         run, self.run_now = self.run_now, None
