@@ -655,6 +655,16 @@ def test_lattice_sums_all_segmentations():
         assert "".join(p for p in lattice.best(word) if not p.startswith("<0x")).startswith(lm.START)
 
 
+def test_names_of_control_pieces_are_plain_text_in_a_word():
+    scores = lm.vocabulary(tokens.vocabulary_path(lm.PIECES))
+    lattice = lm.Lattice(scores)
+    for word in ("</s>", "<0x41>", "a</s>b"):
+        whole = {p: s for p, s in scores.items() if p not in ("</s>", "<0x41>")}
+        assert lattice.log_probability(word) == pytest.approx(enumerated(word, whole))
+        assert not {"</s>", "<0x41>"} & set(lattice.best(word))
+    assert lattice.best("\U0001F996")[-4:] == ["<0xF0>", "<0x9F>", "<0xA6>", "<0x96>"]
+
+
 def test_scores(docs):
     rows = plain(docs)
     lower = {c: c + 32 for c in range(65, 91)}

@@ -13,6 +13,7 @@ task holds more than one block and its words.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -32,6 +33,8 @@ LOG10 = math.log(10)
 #: Added to every piece's count.
 PIECE_PRIOR = 0.1
 START = "▁"
+END = "</s>"
+_BYTE = re.compile("<0x[0-9A-F]{2}>")
 
 
 def vocabulary(path: str) -> dict[str, float]:
@@ -46,15 +49,18 @@ def vocabulary(path: str) -> dict[str, float]:
     named = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
     ranked = sorted(named, key=lambda i: (model.is_byte(i), -model.get_score(i), i))
     scores = {model.id_to_piece(i): -math.log(r + 10) for r, i in enumerate(ranked)}
-    return scores | {"</s>": -math.log(10)}
+    return scores | {END: -math.log(10)}
 
 
 class Lattice:
-    """All segmentations of a word over scored pieces."""
+    """All segmentations of a word over scored pieces.
+
+    The names of the end and of byte pieces stand for themselves in a text, not for those pieces.
+    """
 
     def __init__(self, scores: dict[str, float]):
-        self.scores = scores
-        self.longest = max(map(len, scores))
+        self.pieces = {p: s for p, s in scores.items() if p != END and not _BYTE.fullmatch(p)}
+        self.longest = max(map(len, self.pieces))
         self.bytes = [scores[f"<0x{b:02X}>"] for b in range(256)]
 
     def _spelled(self, char: str) -> float:
@@ -62,7 +68,7 @@ class Lattice:
 
     def log_probability(self, word: str) -> float:
         """Log of the summed probability of all segmentations (forward recursion)."""
-        s, get, exp = START + word, self.scores.get, math.exp
+        s, get, exp = START + word, self.pieces.get, math.exp
         n = len(s)
         alpha = [0.0] * (n + 1)
         for end in range(1, n + 1):
@@ -71,7 +77,7 @@ class Lattice:
                 score = get(s[start:end])
                 if score is not None:
                     terms.append(alpha[start] + score)
-            if s[end - 1] not in self.scores:
+            if s[end - 1] not in self.pieces:
                 terms.append(alpha[end - 1] + self._spelled(s[end - 1]))
             if len(terms) == 1:
                 alpha[end] = terms[0]
@@ -82,7 +88,7 @@ class Lattice:
 
     def best(self, word: str) -> list[str]:
         """The likeliest segmentation."""
-        s, get = START + word, self.scores.get
+        s, get = START + word, self.pieces.get
         n = len(s)
         score, back = [0.0] + [-math.inf] * n, [0] * (n + 1)
         for end in range(1, n + 1):
@@ -90,14 +96,14 @@ class Lattice:
                 one = get(s[start:end])
                 if one is not None and score[start] + one > score[end]:
                     score[end], back[end] = score[start] + one, start
-            if s[end - 1] not in self.scores:
+            if s[end - 1] not in self.pieces:
                 one = score[end - 1] + self._spelled(s[end - 1])
                 if one > score[end]:
                     score[end], back[end] = one, end - 1
         out, at = [], n
         while at:
             piece = s[back[at] : at]
-            if piece in self.scores:
+            if piece in self.pieces:
                 out.append(piece)
             else:
                 out += [f"<0x{b:02X}>" for b in reversed(piece.encode())]
@@ -133,7 +139,7 @@ def fitted_scores(words: DataFrame, ends: int, initial: dict[str, float]) -> dic
 
     used = words.where("c > 0").select("word", "c").mapInArrow(fn, "piece string, n long")
     counts = {r["piece"]: r["n"] for r in used.groupBy("piece").agg(F.sum("n").alias("n")).collect()}
-    counts["</s>"] = ends
+    counts[END] = ends
     total = math.log(sum(counts.values()) + PIECE_PRIOR * len(initial))
     return {p: math.log(counts.get(p, 0) + PIECE_PRIOR) - total for p in initial}
 
@@ -194,7 +200,7 @@ def score(docs: DataFrame, path: str | None = None, block_bytes: int = BLOCK_BYT
     scores = fitted_scores(words, ends, vocabulary(path))
     model = spark.sparkContext.broadcast(scores)
     log_total = math.log10(total + ADDED * (types + 1))
-    end_known, end_base, end_score = int(ends > 0), math.log10(ends + ADDED) - log_total, scores["</s>"] / LOG10
+    end_known, end_base, end_score = int(ends > 0), math.log10(ends + ADDED) - log_total, scores[END] / LOG10
 
     def lattice_scores(batch: pa.RecordBatch) -> pa.RecordBatch:
         lattice = Lattice(model.value)
