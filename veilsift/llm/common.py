@@ -1,17 +1,14 @@
-"""Shared helpers: durable tables, Arrow batch plumbing, distributed ranks."""
+"""Shared helpers: Arrow batch plumbing, distributed ranks, connected components."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.runtime import ship_package
+from ..functions.runtime import durable, ship_package
 
 #: Word separators of every contract here: space and the five ASCII controls 9..13.
 #: Java and DuckDB (RE2) read this text alike.
@@ -35,32 +32,6 @@ def arrow_limits(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    A cluster names it in ``spark.checkpoint.dir``.  Only a local master, where
-    driver and executors are one process, may fall back on a temporary folder.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return os.path.join(tempfile.gettempdir(), "veilsift-checkpoints")
-
-
-def durable(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    Cuts lineage and survives the loss of executors: what is read later is a
-    table in shared storage, not blocks on one machine.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/veilsift/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def map_batches(
     df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str
 ) -> DataFrame:
