@@ -56,7 +56,11 @@ ADDED_RULES = (
     SecretRule("google", r"AIza[A-Za-z0-9_-]{35}"),
     SecretRule("stripe", r"[rs]k_live_[A-Za-z0-9]{16,}"),
     SecretRule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,}"),
-    SecretRule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
+    # The whole block; a block that is cut off goes as far as its lines do.
+    SecretRule(
+        "private_key",
+        r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----(?:(?:[A-Za-z0-9+/=,:\s]|-(?!----))*-----END (?:[A-Z]+ )*PRIVATE KEY-----|(?:\s*[A-Za-z0-9+/=]{16,})*)",
+    ),
     SecretRule("url_login", r"[a-z]{3,8}://[A-Za-z0-9._-]+:[A-Za-z0-9._~%-]{3,}@"),
 )
 
