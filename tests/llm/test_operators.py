@@ -676,6 +676,31 @@ def test_lattice_sums_all_segmentations():
         assert "".join(p for p in lattice.best(word) if not p.startswith("<0x")).startswith(lm.START)
 
 
+def test_expected_pieces_are_those_of_all_segmentations():
+    scores = lm.vocabulary(tokens.vocabulary_path(lm.PIECES))
+    lattice = lm.Lattice(scores)
+    weight = 1 << 30
+    for word in ("the", "hello", "naïve", "日x", "a", "tokens", "\U0001F996"):
+        got, s = dict.fromkeys(scores, 0), lm.START + word
+        lattice.add_expected(word, weight, got)
+        ways = [([], 0)]  # every path, piece by piece
+        want, total = Counter(), 0.0
+        while ways:
+            path, at = ways.pop()
+            if at == len(s):
+                p = math.exp(sum(scores[x] for x in path))
+                total += p
+                for x in path:
+                    want[x] += p
+                continue
+            ways += [(path + [s[at:end]], end) for end in range(at + 1, len(s) + 1) if s[at:end] in scores]
+            if s[at] not in scores:
+                ways.append((path + [f"<0x{b:02X}>" for b in s[at].encode()], at + 1))
+        assert {p for p, n in got.items() if n} <= set(want)
+        for piece, p in want.items():
+            assert got[piece] / weight == pytest.approx(p / total, abs=1e-7)
+
+
 def test_names_of_control_pieces_are_plain_text_in_a_word():
     scores = lm.vocabulary(tokens.vocabulary_path(lm.PIECES))
     lattice = lm.Lattice(scores)

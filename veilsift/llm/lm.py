@@ -2,8 +2,9 @@
 
 The pieces are those of an existing vocabulary and are never trained; their
 unigram scores start from the vocabulary's own order and are fitted to the training
-documents.  A word's probability is the sum over **all** its segmentations into pieces,
-by a forward recursion in log space; a text's is the product over its words and the end.
+documents by expectation steps over all segmentations.  A word's probability is the sum over
+**all** its segmentations into pieces, by a forward recursion in log space; a text's is the
+product over its words and the end.
 
 Corpus counts are joined to texts by blocks: a block's texts ask once for each of
 their distinct words, so a word travels once per block and not once per occurrence, and no
@@ -17,21 +18,29 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, durable, map_batches, partitions_for, text_bytes
+from .common import arrow_limits, durable, partitions_for, text_bytes
 from .tokens import vocabulary_path
 
 PIECES = "piece_bpe_32k.model"
 HELD_OUT_EVERY = 10
 BLOCK_BYTES = 24 << 20
+#: Distinct words whose lattices one task builds, whatever the size of the corpus.
+TASK_WORDS = 100_000
+#: Expectation steps that fit the scores.
+STEPS = 2
 ADDED = 0.1
 LOG10 = math.log(10)
 #: Added to every piece's count.
 PIECE_PRIOR = 0.1
+#: Expected counts are summed as whole multiples of 1 / UNITS: the sum is the same in any order.
+UNITS = 1 << 16
 START = "▁"
 END = "</s>"
 _BYTE = re.compile("<0x[0-9A-F]{2}>")
@@ -60,46 +69,87 @@ class Lattice:
 
     def __init__(self, scores: dict[str, float]):
         self.pieces = {p: s for p, s in scores.items() if p != END and not _BYTE.fullmatch(p)}
-        self.longest = max(map(len, self.pieces))
+        self.single = frozenset(p for p in self.pieces if len(p) == 1)
         self.bytes = [scores[f"<0x{b:02X}>"] for b in range(256)]
+        self.found = ahocorasick.Automaton()
+        for piece, score in self.pieces.items():
+            self.found.add_word(piece, (len(piece), score, piece))
+        self.found.make_automaton()
 
     def _spelled(self, char: str) -> float:
         return sum(self.bytes[b] for b in char.encode())
 
-    def log_probability(self, word: str) -> float:
-        """Log of the summed probability of all segmentations (forward recursion)."""
-        s, get, exp = START + word, self.pieces.get, math.exp
-        n = len(s)
-        alpha = [0.0] * (n + 1)
-        for end in range(1, n + 1):
-            terms = []
-            for start in range(max(0, end - self.longest), end):
-                score = get(s[start:end])
-                if score is not None:
-                    terms.append(alpha[start] + score)
-            if s[end - 1] not in self.pieces:
-                terms.append(alpha[end - 1] + self._spelled(s[end - 1]))
-            if len(terms) == 1:
-                alpha[end] = terms[0]
+    def arcs(self, word: str) -> list[list[tuple[int, float, str]]]:
+        """``(length, score, piece)`` of the arcs that end with each character of ``START + word``, longest first.
+
+        A character that is no piece has an arc of its bytes.
+        """
+        s = START + word
+        at: list[list[tuple[int, float, str]]] = [[] for _ in s]
+        for last, arc in self.found.iter(s):
+            at[last].append(arc)
+        if not self.single.issuperset(s):
+            for char, here in zip(s, at):
+                if char not in self.single:
+                    here.append((1, self._spelled(char), ""))
+        return at
+
+    def forward(self, arcs: list[list[tuple[int, float, str]]]) -> tuple[list[float], list[list[float]]]:
+        """Log of the summed probability of all ways to each place, and each arc's part of that sum.
+
+        Parts are relative; their total stands behind them.
+        """
+        alpha, parts, exp, log, whole = [0.0], [], math.exp, math.log, [1.0, 1.0]
+        for end, here in enumerate(arcs, 1):
+            if len(here) == 1:
+                alpha.append(alpha[end - 1] + here[0][1])
+                parts.append(whole)
             else:
+                terms = [alpha[end - n] + score for n, score, _ in here]
                 top = max(terms)
-                alpha[end] = top + math.log(sum([exp(t - top) for t in terms]))
-        return alpha[n]
+                weights = [exp(t - top) for t in terms]
+                total = sum(weights)
+                alpha.append(top + log(total))
+                weights.append(total)
+                parts.append(weights)
+        return alpha, parts
+
+    def log_probability(self, word: str) -> float:
+        return self.forward(self.arcs(word))[0][-1]
+
+    def add_expected(self, word: str, weight: int, counts: dict[str, int]) -> None:
+        """Add each piece's expected uses over all segmentations, ``weight`` times, to ``counts``.
+
+        Going back from the end, a place hands its weight on to its arcs by their parts in the
+        forward sum.  Uses are rounded to whole numbers; less than half a one falls.
+        """
+        arcs = self.arcs(word)
+        parts = self.forward(arcs)[1]
+        share = [0.0] * len(arcs) + [float(weight)]
+        for end in range(len(arcs), 0, -1):
+            here, part = share[end], parts[end - 1]
+            if here < 0.5:
+                continue
+            here /= part[-1]
+            for (n, _, piece), p in zip(arcs[end - 1], part):
+                used = here * p
+                if used >= 0.5:
+                    share[end - n] += used
+                    if piece:
+                        counts[piece] += int(used + 0.5)
+                    else:
+                        for b in (START + word)[end - 1].encode():
+                            counts[f"<0x{b:02X}>"] += int(used + 0.5)
 
     def best(self, word: str) -> list[str]:
         """The likeliest segmentation."""
-        s, get = START + word, self.pieces.get
+        s, arcs = START + word, self.arcs(word)
         n = len(s)
         score, back = [0.0] + [-math.inf] * n, [0] * (n + 1)
         for end in range(1, n + 1):
-            for start in range(max(0, end - self.longest), end):
-                one = get(s[start:end])
-                if one is not None and score[start] + one > score[end]:
-                    score[end], back[end] = score[start] + one, start
-            if s[end - 1] not in self.pieces:
-                one = score[end - 1] + self._spelled(s[end - 1])
-                if one > score[end]:
-                    score[end], back[end] = one, end - 1
+            for length, one, _ in arcs[end - 1]:
+                if score[end - length] + one > score[end]:
+                    score[end], back[end] = score[end - length] + one, end - length
         out, at = [], n
         while at:
             piece = s[back[at] : at]
@@ -115,36 +165,52 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+def split_words(texts: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
+    """Where each text's words start, and the words of all texts in a row.
+
+    Arrow's split keeps an empty string where a text begins or ends with a space, and one for an
+    empty text, so that no text is without a place.
+    """
+    lower = pc.ascii_lower(texts.combine_chunks().cast(pa.large_string()))
+    parts = pc.ascii_split_whitespace(lower)
+    return parts.offsets.to_numpy()[:-1].astype(np.int64), parts.values
+
+
 def _as_text(word: bytes) -> str:
     return word.decode()
 
 
-def fitted_scores(words: DataFrame, ends: int, initial: dict[str, float]) -> dict[str, float]:
-    """Log scores of the pieces from the training counts ``(word, c)``.
+def dealt_words(words: DataFrame, distinct: int) -> DataFrame:
+    """``words`` over tasks of about ``TASK_WORDS``: a scan would put a table so narrow into few tasks."""
+    return words.repartition(partitions_for(distinct, TASK_WORDS), "word")
+
 
-    One hard expectation step: every distinct word's likeliest segmentation, weighted by its
-    count.  What reaches the driver has a row per piece of the vocabulary.
+def refitted_scores(words: DataFrame, ends: int, scores: dict[str, float]) -> dict[str, float]:
+    """Log scores of the pieces after one expectation step over the training counts ``(word, c)``.
+
+    Every distinct word's expected pieces count as often as the word.  What reaches the driver has a
+    row per piece of the vocabulary.
     """
-    start = words.sparkSession.sparkContext.broadcast(initial)
+    sent = words.sparkSession.sparkContext.broadcast(scores)
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, counts = Lattice(start.value), Counter()
+        lattice, counts = Lattice(sent.value), dict.fromkeys(sent.value, 0)
         for batch in batches:
             for word, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for piece in lattice.best(_as_text(word)):
-                    counts[piece] += c
+                lattice.add_expected(_as_text(word), c * UNITS, counts)
+        counts = {p: n for p, n in counts.items() if n}
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["piece", "n"]
         )
 
     used = words.where("c > 0").select("word", "c").mapInArrow(fn, "piece string, n long")
-    counts = {r["piece"]: r["n"] for r in used.groupBy("piece").agg(F.sum("n").alias("n")).collect()}
+    counts = {r["piece"]: r["n"] / UNITS for r in used.groupBy("piece").agg(F.sum("n").alias("n")).collect()}
     counts[END] = ends
-    total = math.log(sum(counts.values()) + PIECE_PRIOR * len(initial))
-    return {p: math.log(counts.get(p, 0) + PIECE_PRIOR) - total for p in initial}
+    total = math.log(math.fsum(counts.values()) + PIECE_PRIOR * len(scores))
+    return {p: math.log(counts.get(p, 0) + PIECE_PRIOR) - total for p in scores}
 
 
-def score(docs: DataFrame, path: str | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score(docs: DataFrame, path: str | None = None, block_bytes: int = BLOCK_BYTES, steps: int = STEPS) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of each text.
 
     Texts whose ``crc32(doc_id as text) % 10`` is 0 are held out; all others train.  Null and
@@ -195,42 +261,50 @@ def score(docs: DataFrame, path: str | None = None, block_bytes: int = BLOCK_BYT
     )
     asked = durable(per_block, "block-words")
     words = durable(asked.groupBy("word").agg(F.sum("n").alias("c")), "words")
-    tokens, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum((F.col("c") > 0).cast("long")), F.lit(0))).first()
-    total, types = tokens + ends, distinct + (ends > 0)
-    scores = fitted_scores(words, ends, vocabulary(path))
+    tokens, known, distinct = words.agg(
+        F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum((F.col("c") > 0).cast("long")), F.lit(0)), F.count(F.lit(1))
+    ).first()
+    total, types = tokens + ends, known + (ends > 0)
+    dealt = dealt_words(words, distinct)
+    scores = vocabulary(path)
+    for _ in range(steps):
+        scores = refitted_scores(dealt, ends, scores)
     model = spark.sparkContext.broadcast(scores)
     log_total = math.log10(total + ADDED * (types + 1))
     end_known, end_base, end_score = int(ends > 0), math.log10(ends + ADDED) - log_total, scores[END] / LOG10
 
-    def lattice_scores(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def lattice_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(model.value)
-        logs = [lattice.log_probability(_as_text(w)) / LOG10 for w in batch.column(0).to_pylist()]
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(logs, pa.float64())], ["word", "c", "lp"])
+        for batch in batches:
+            logs = [lattice.log_probability(_as_text(w)) / LOG10 for w in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(logs, pa.float64())], ["word", "c", "lp"])
 
-    scored = map_batches(words, lattice_scores, "word binary, c long, lp double")
+    scored = dealt.mapInArrow(lattice_scores, "word binary, c long, lp double")
     answers = asked.select("block", "word").join(scored, "word")
 
     def per_text(texts: pa.Table, known: pa.Table) -> pa.Table:
-        place = {w: i for i, w in enumerate(known.column("word").to_pylist())}
         c = known.column("c").to_numpy()
-        base = np.log10(c + ADDED) - log_total
-        lp = known.column("lp").to_numpy()
-        rows: list[list] = [[], [], [], []]
-        for text in texts.column("text").to_pylist():
-            at = np.array([place[w] for w in words_of(text)], np.int64)
-            rows[0].append(len(at) + 1)
-            rows[1].append(int((c[at] > 0).sum()) + end_known)
-            rows[2].append(math.fsum(base[at]) + end_base)
-            rows[3].append(math.fsum(lp[at]) + end_score)
+        values = np.stack([np.ones(len(c)), c > 0, np.log10(c + ADDED) - log_total, known.column("lp").to_numpy()])
+        ends_of_text = np.array([1, end_known, end_base, end_score])
+        sums = np.empty((4, texts.num_rows))
+        if texts.num_rows:
+            starts, words = split_words(texts.column("text"))
+            # An empty string stands where a text begins or ends with a space: no word, so worth nothing.
+            place = pc.index_in(words, value_set=known.column("word").combine_chunks().cast(pa.large_string()))
+            if place.null_count != pc.sum(pc.equal(pc.binary_length(words), 0)).as_py():
+                raise ValueError("a word without a score")
+            at = pc.fill_null(place, len(c)).to_numpy(zero_copy_only=False)
+            for row, value in enumerate(np.pad(values, ((0, 0), (0, 1)))):
+                sums[row] = np.add.reduceat(value[at], starts) + ends_of_text[row]
         return pa.table(
             {
                 "doc_id": texts.column("doc_id"),
                 "held_out": texts.column("held_out"),
-                "n_tokens": pa.array(rows[0], pa.int64()),
-                "n_known": pa.array(rows[1], pa.int64()),
+                "n_tokens": pa.array(sums[0].astype(np.int64)),
+                "n_known": pa.array(sums[1].astype(np.int64)),
                 "train_tokens": pa.array([total] * texts.num_rows, pa.int64()),
-                "base_score": pa.array(rows[2], pa.float64()),
-                "score": pa.array(rows[3], pa.float64()),
+                "base_score": pa.array(sums[2]),
+                "score": pa.array(sums[3]),
             }
         )
 
