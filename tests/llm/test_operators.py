@@ -91,6 +91,58 @@ def test_large_group_of_near_copies_in_blocks(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs, 3, 85, 100).collect()} == want
 
 
+def test_large_component_and_an_unlinked_text_in_blocks(spark, monkeypatch):
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 300):
+        w = list(base)
+        w[rng.randrange(100, 200)] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    # Seven changed words apart cost 21 of 198 shingles, 177 / 219 = 0.81 with the head: a suspect, not a link.
+    w = list(base)
+    for k in range(7):
+        w[5 + 12 * k] = f"y{k}"
+    rows.append((1000, " ".join(w)))
+    docs = made(spark, rows)  # noqa: F405
+    monkeypatch.setattr(minhash, "BLOCK", 20)
+    monkeypatch.setattr(minhash, "SIGNATURE_BLOCK", 30)
+    seen, deal = [], minhash._in_block_pairs
+
+    def watched(members, keys, member, size, *load):
+        dealt = deal(members, keys, member, size, *load)
+        seen.append((keys, size, dealt.groupBy(*keys, "lo", "hi").count().collect(), dealt.count()))
+        return dealt
+
+    monkeypatch.setattr(minhash, "_in_block_pairs", watched)
+    want = brute_components(plain(docs), 3, 85, 100)
+    assert set(want.values()) == {0, 1000}
+    assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs, 3, 85, 100).collect()} == want
+    assert [k for k, *_ in seen] == [["head"], ["cluster"]]
+    _, size, groups, dealt = seen[1]
+    assert max(r["count"] for r in groups) <= 3 * size
+    # Each member of the group meets the one other block; that one's text meets every block of the group.
+    assert dealt <= 300 + len(groups)
+
+
+def test_every_pair_of_two_components_meets_in_blocks(spark):
+    rng = random.Random(4)
+    rows = [(g, i, i % 3 if i < 90 else i) for g in (1, 2) for i in rng.sample(range(150), 120)] + [(3, i, 7) for i in range(40)]
+    dealt = minhash._in_block_pairs(spark.createDataFrame(rows, "g long, id long, component long"), ["g"], "id", 15).collect()
+    by = defaultdict(list)
+    for r in dealt:
+        by[r["g"], r["lo"], r["hi"]].append(r)
+    met = Counter()
+    for (g, lo, hi), members in by.items():
+        assert {r["blk"] for r in members} <= {lo, hi}
+        for a in members:
+            for b in members:
+                if a["id"] < b["id"] and a["component"] != b["component"] and (lo == hi or a["blk"] != b["blk"]):
+                    met[g, a["id"], b["id"]] += 1
+    want = {(g, i, j) for g, i, c in rows for h, j, d in rows if g == h and i < j and c != d}
+    assert set(met) == want and set(met.values()) == {1}
+
+
 @pytest.mark.parametrize("num", [70, 80, 85, 90, 95])
 def test_signature_plan_guarantee(num):
     plan = minhash.signature_plan(num, 100)

@@ -27,7 +27,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_limits, components, durable, map_batches, text_bytes
@@ -196,15 +196,42 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[
         yield held.combine_chunks(), [(0, held.num_rows)]
 
 
-def _in_block_pairs(rows: DataFrame, keys: list[str], blocks: Column, block: Column, member: str) -> DataFrame:
-    """``rows`` of large groups dealt to the pairs of their blocks, sorted by group and member.
+def _in_block_pairs(members: DataFrame, keys: list[str], member: str, size: int, load: DataFrame | None = None) -> DataFrame:
+    """``members`` of mixed groups dealt to the pairs of their blocks, sorted by group and member.
 
-    A group of ``B`` blocks becomes ``B (B + 1) / 2`` groups ``(keys, lo, hi)``, so that all of
-    its pairs meet while no task holds more than two blocks of it.
+    A component with more than ``size`` members of a group has blocks of its own, which meet the blocks of
+    the others only; all smaller components share blocks, which meet each other and themselves.  So every
+    pair of two components meets in some group ``(keys, lo, hi)``, no such group holds more than two blocks,
+    and the members of a large component are not dealt to each other.  Groups of one component fall.
+    ``load`` is joined by member before rows are multiplied.
     """
-    dealt = rows.withColumns({"blk": block.cast("int"), "_other": F.explode(F.sequence(F.lit(0), blocks.cast("int") - 1))})
-    dealt = dealt.withColumns({"lo": F.least("blk", "_other"), "hi": F.greatest("blk", "_other")}).drop("_other")
+    parts = members.groupBy(*keys, "component").agg(F.count(F.lit(1)).alias("_n"))
+    parts = parts.withColumn("_own", F.when(F.col("_n") > size, F.col("component")))  # null: the shared blocks
+    owners = parts.groupBy(*keys, "_own").agg(F.ceil(F.sum("_n") / size).cast("int").alias("_blocks"), F.count(F.lit(1)).alias("_parts"))
+    group = Window.partitionBy(*keys)
+    before = group.orderBy("_own").rowsBetween(Window.unboundedPreceding, -1)
+    owners = owners.withColumns(
+        {
+            "_start": F.coalesce(F.sum("_blocks").over(before), F.lit(0)).cast("int"),
+            "_all": F.sum("_blocks").over(group).cast("int"),
+            "_parts": F.sum("_parts").over(group),
+            "_skip": F.when(F.col("_own").isNull(), 0).otherwise(F.col("_blocks")),
+        }
+    ).where("_parts > 1")
+    same = [F.col(f"p.{k}") == F.col(f"o.{k}") for k in keys] + [F.col("p._own").eqNullSafe(F.col("o._own"))]
+    placed = parts.alias("p").join(owners.alias("o"), same)
+    placed = placed.select(*(f"p.{k}" for k in keys), "p.component", "_blocks", "_start", "_all", "_skip")
+    rows = members.join(placed, [*keys, "component"])
+    rows = rows if load is None else load.join(rows, member)
+    others = F.transform(
+        F.sequence(F.lit(0), F.col("_all") - F.col("_skip") - 1),
+        lambda i: i + F.when(i >= F.col("_start"), F.col("_skip")).otherwise(0),
+    )
+    blk = (F.col("_start") + F.pmod(F.xxhash64(member), F.col("_blocks"))).cast("int")
+    dealt = rows.withColumns({"blk": blk, "_other": F.explode(others)})
+    dealt = dealt.withColumns({"lo": F.least("blk", "_other"), "hi": F.greatest("blk", "_other")})
     order = [*keys, "lo", "hi"]
+    dealt = dealt.drop("_other", "_blocks", "_start", "_all", "_skip")
     return dealt.repartition(*order).sortWithinPartitions(*order, member)
 
 
@@ -215,12 +242,7 @@ def _suspects(members: DataFrame, plan: SignaturePlan, num: int, den: int) -> Da
     suspect pair is within the signature distance and of fitting set sizes.  Per pair of blocks at
     most one edge per member comes out, to the smallest member that it is connected with.
     """
-    per_head = members.groupBy("head").agg(
-        F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("m")
-    )
-    mixed = per_head.where("x < y").select("head", F.ceil(F.col("m") / SIGNATURE_BLOCK).alias("blocks"))
-    rows = members.join(mixed, "head")
-    dealt = _in_block_pairs(rows, ["head"], F.col("blocks"), F.pmod(F.xxhash64("id"), F.col("blocks")), "id")
+    dealt = _in_block_pairs(members, ["head"], "id", SIGNATURE_BLOCK)
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, groups in _runs(batches, ["head", "lo", "hi"]):
@@ -265,16 +287,18 @@ def _stars(size: int, x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
     return [(find(u), u) for u in range(size) if root[u] != u]
 
 
+def _texts_in_block_pairs(clusters: DataFrame, docs: DataFrame) -> DataFrame:
+    texts = docs.select("doc_id", text_bytes().alias("t"))
+    return _in_block_pairs(clusters.withColumnRenamed("id", "doc_id"), ["cluster"], "doc_id", BLOCK, texts)
+
+
 def _links_in_clusters(clusters: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Confirmed links between different components inside each cluster.
 
     ``clusters``: ``cluster, id, component``.  All open pairs of a cluster are compared on their full
     sets, block against block; what comes out spans the components' links.
     """
-    sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"))
-    sized = clusters.join(sizes.select("cluster", F.ceil(F.col("m") / BLOCK).alias("blocks")), "cluster")
-    texts = docs.select("doc_id", text_bytes().alias("t")).join(sized.withColumnRenamed("id", "doc_id"), "doc_id")
-    dealt = _in_block_pairs(texts, ["cluster"], F.col("blocks"), F.pmod(F.xxhash64("component"), F.col("blocks")), "doc_id")
+    dealt = _texts_in_block_pairs(clusters, docs)
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, groups in _runs(batches, ["cluster", "lo", "hi"]):
