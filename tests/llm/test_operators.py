@@ -695,6 +695,50 @@ def test_licenses(docs):
         assert exact <= got
 
 
+def commented(text, mark, width):
+    import textwrap
+
+    return "\n".join(mark + line for line in textwrap.wrap(text, width))
+
+
+@pytest.mark.parametrize("mark", ["# ", " * ", "// ", ";; "])
+@pytest.mark.parametrize("name", ["Apache-2.0-header", "MIT-grant", "BSD-grant", "GPL-3.0-header", "GPL-2.0-text", "MIT-text"])
+def test_licenses_in_comments(name, mark):
+    text = next(t.text for t in licenses.TEMPLATES if t.name == name)
+    got = {f[0] for f in licenses.find(("x = 1\n" + commented(text, mark, 60) + "\ny = 2 ").encode() * 2, licenses.TEMPLATES)[1]}
+    assert name in got
+
+
+def test_wordings_of_short_notices():
+    assert all(5 <= len(licenses.words_of(t.text.encode())) <= 8 for t in licenses._wordings())
+
+    def names(x):
+        return {f[0] for f in licenses.find(x.encode(), licenses.TEMPLATES)[1]}
+
+    for said in ("It is released under the MIT License, see below.", "released under the MIT License (see LICENSE)", "Code is distributed under the MIT licence"):
+        assert names(said) == {"MIT"}
+    assert names("All of it is licensed under CC BY-NC 4.0, as said") == {"CC-BY-NC-4.0"}
+    assert names("available under the Apache License, Version 2.0; see it") == {"Apache-2.0"}
+    assert names("this was under the GNU General Public License, version 3 only") == {"GPL-3.0"}
+    assert names("This work is licensed under the GNU General Public License, version 2 only") == {"GPL-2.0"}
+    assert names("nothing of the kind is said in these few words") == set()
+
+
+def test_headers_tell_versions_and_kinds_apart():
+    for t in (t for t in licenses.NOTICES if t.name.endswith("PL-3.0-header") or t.name in ("GPL-2.0-header", "LGPL-2.1-header")):
+        text = f"This program is free software; you can redistribute it and/or modify it under the {t.text}, or (at your option) any later version."
+        assert {f[0] for f in licenses.find(text.encode(), licenses.TEMPLATES)[1]} == {t.name}
+
+
+def test_whole_license_texts_are_found():
+    for name, text in licenses.TEXTS.items():
+        kept = text.split()
+        for at in range(60, len(kept), 120):
+            kept[at] = "other"
+        got = {f[0] for f in licenses.find(("before it " + " ".join(kept) + " after it").encode(), licenses.TEMPLATES)[1]}
+        assert f"{name}-text" in got
+
+
 def test_bands_keep_the_promise():
     for size in licenses.sizes(licenses.TEMPLATES):
         s = licenses.floor_similarity(size.shingles, size.step)
