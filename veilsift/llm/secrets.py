@@ -49,9 +49,16 @@ BASE_RULES = (
     SecretRule("hex", r"[0-9a-f]+", 0, 24),
 )
 
+#: Parts of private key blocks: their label, escaped characters of a block kept as a string, header lines.
+_KEY = r"(?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?"
+_ESCAPED = r"\\+(?:[nrt/\"\r\n]|u00[0-9A-Fa-f]{2})"
+_GAP = rf"(?:[\s\"'+,]|{_ESCAPED})*"
+_HEADERS = rf"(?:{_GAP}(?:Version|Comment|MessageID|Hash|Charset|Proc-Type|DEK-Info): (?:[^\r\n\\-]|-(?!----)|\\+[/\"])*+)*+"
+
 #: What this operator adds: published shapes of credentials.
 ADDED_RULES = (
     SecretRule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
+    SecretRule("github", r"github_pat_[A-Za-z0-9_]{22,}"),
     SecretRule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     SecretRule("google", r"AIza[A-Za-z0-9_-]{35}"),
     SecretRule("stripe", r"[rs]k_live_[A-Za-z0-9]{16,}"),
@@ -59,7 +66,8 @@ ADDED_RULES = (
     # The whole block; a block that is cut off goes as far as its lines do.
     SecretRule(
         "private_key",
-        r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----(?:(?:[A-Za-z0-9+/=,:\s]|-(?!----))*-----END (?:[A-Z]+ )*PRIVATE KEY-----|(?:\s*[A-Za-z0-9+/=]{16,})*)",
+        rf"-----BEGIN {_KEY}-----{_HEADERS}"
+        rf"(?:(?:[A-Za-z0-9+/=,:\s\"']|{_ESCAPED}|-(?!----))*-----END {_KEY}-----|(?:{_GAP}(?:[A-Za-z0-9+/=]|\\+/){{16,}})*)",
     ),
     SecretRule("url_login", r"[a-z]{3,8}://[A-Za-z0-9._-]+:[A-Za-z0-9._~%-]{3,}@"),
 )
