@@ -143,6 +143,20 @@ def test_every_pair_of_two_components_meets_in_blocks(spark):
     assert set(met) == want and set(met.values()) == {1}
 
 
+def test_repeated_ids_with_different_texts(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    near_b = b + " more"
+    rows = [(3, a), (5, a), (5, b), (9, near_b), (3, a), (6, c), (6, None), (4, c), (20, d), (20, None), (21, b + " " + d), (21, ""), (30, ""), (30, None)]
+    docs = made(spark, rows + [(40, " ".join(f"e{i}" for i in range(70))), (40, d)])  # noqa: F405
+    want = brute_components(plain(docs), 3, 85, 100)
+    assert want[5] == want[9] == 3 and want[40] == want[20] == 20 and want[21] == 21
+    for r in minhash.near_duplicates(docs, 3, 85, 100).collect():
+        assert r["component_id"] == want[r["doc_id"]] and r["kept"] == (r["doc_id"] == want[r["doc_id"]])
+    for n in (1, 7):
+        left = {r["doc_id"]: r["text"] for r in minhash.drop_near_duplicates(docs.repartition(n), 3, 85, 100).collect()}
+        assert left == {3: a, 4: c, 20: d, 21: b + " " + d, 30: ""}
+
+
 @pytest.mark.parametrize("num", [70, 80, 85, 90, 95])
 def test_signature_plan_guarantee(num):
     plan = minhash.signature_plan(num, 100)

@@ -315,7 +315,7 @@ def _links_in_clusters(clusters: DataFrame, docs: DataFrame, width: int, num: in
                 sets = [shingle_set(t, width) for t in texts.slice(s, e - s).to_pylist()]
                 n = np.array([len(x) for x in sets])
                 shared = _intersections(sets)
-                x, y = np.nonzero(open_pairs & (den * shared >= num * (n[:, None] + n - shared)))
+                x, y = np.nonzero(open_pairs & (shared > 0) & (den * shared >= num * (n[:, None] + n - shared)))
                 names, at = np.unique(c, return_inverse=True)
                 for u, v in _stars(len(names), at[x], at[y]):
                     a.append(names[u])
@@ -360,12 +360,19 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int
                 known = ta, shingle_set(ta, width)
             a, b = known[1], shingle_set(tb, width)
             inter = len(np.intersect1d(a, b, assume_unique=True))
-            keep.append(den * inter >= num * (len(a) + len(b) - inter))
+            keep.append(inter > 0 and den * inter >= num * (len(a) + len(b) - inter))
         return batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return map_batches(both.select("a", "b", "ta", "tb"), fn, "a long, b long").distinct()
 
 
+def _repeated(prints: DataFrame, classes: DataFrame) -> DataFrame:
+    """``doc_id, id``: the classes of each doc_id whose rows have different sets."""
+    sets = prints.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("f1", "f2")).alias("x"), F.max(F.struct("f1", "f2")).alias("y"))
+    rows = prints.join(sets.where("x <> y").select("doc_id"), "doc_id", "left_semi")
+    return rows.join(classes.select("f1", "f2", "id"), ["f1", "f2"]).select("doc_id", "id").distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """Components of texts linked at Jaccard ``>= num / den`` over ``width``-word shingles.
 
@@ -373,7 +380,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
 
     * null text, empty text, text without words: the empty set, linked with nothing;
     * null ``doc_id``: its own row, ``component_id`` null, ``kept`` true, linked with nothing;
-    * repeated ``doc_id``: one vertex, every row kept or not together;
+    * repeated ``doc_id``: one vertex with all its texts, every row kept or not together;
     * ties: the smallest ``doc_id`` of a component is kept;
     * other columns of ``docs`` are not read, so their names can't clash.
     """
@@ -402,7 +409,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     fits = f"{den} * least(n, head_n) >= {num} * greatest(n, head_n)"
     first = members.where(f"id <> head and {fits}").select(F.col("head").alias("a"), F.col("id").alias("b"))
     near = durable(_near(first, classes, plan), "near")
-    links = durable(_confirmed(near, docs, width, num, den), "links")
+    vertices = durable(_repeated(prints, classes), "repeated")
+    same = vertices.where("id <> doc_id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
+    links = durable(_confirmed(near, docs, width, num, den).unionByName(same), "links")
     labels = components(links)
 
     # What round one left in different components under one head is compared in blocks.
@@ -417,8 +426,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
 
     # A class is named by its smallest doc_id; a label by its component.
     named = prints.join(classes.select("f1", "f2", "id"), ["f1", "f2"], "left")
+    # An empty row goes with the other rows of its doc_id.
+    of_id = vertices.groupBy("doc_id").agg(F.min("id").alias("_vertex"))
+    named = named.join(of_id, "doc_id", "left").withColumn("id", F.coalesce("id", "_vertex"))
     out = named.join(labels, "id", "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "id")).otherwise(F.col("doc_id"))
+    component = F.coalesce("component", "id", "doc_id")
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(component)
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
@@ -428,9 +440,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
 def drop_near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``docs`` with one document of each group left, all its columns as they were.
 
-    Repeated rows of one ``doc_id`` count as one document: one row stays.  Rows with a
-    null ``doc_id`` all stay.
+    Repeated rows of one ``doc_id`` count as one document: the one with the longest text stays,
+    of those the first by text, then by the other columns.  Rows with a null ``doc_id`` all stay.
     """
     kept = near_duplicates(docs, width, num, den).where("kept and doc_id is not null").select("doc_id").distinct()
     known = docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
-    return known.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    length = F.coalesce(F.length("text"), F.lit(-1))
+    # Maps have no order; as JSON they do.
+    rest = [F.to_json(F.struct(f.name)) if "map<" in f.dataType.simpleString() else F.col(f.name) for f in docs.schema.fields]
+    order = Window.partitionBy("doc_id").orderBy(length.desc(), "text", *rest)
+    known = known.withColumn("_row", F.row_number().over(order)).where("_row = 1").select(*docs.columns)
+    return known.unionByName(docs.where("doc_id is null"))
