@@ -427,6 +427,25 @@ def test_palette(colours):
     assert np.array_equal(webp.decode(Writer().file(13, 7, body)), table[index])
 
 
+def test_extended_container():
+    pixels = picture(np.random.default_rng(6), 7, 5)
+
+    def body(w):
+        w.put(0, 1)
+        w.image(argb_of(pixels), 5, True)
+
+    def chunk(kind, data):
+        return kind + struct.pack("<I", len(data)) + data + b"\0" * (len(data) & 1)
+
+    image = Writer().file(5, 7, body)[12:]
+    flags = chunk(b"VP8X", bytes([0x3C, 0, 0, 0, 4, 0, 0, 6, 0, 0]))
+    for chunks in (flags + image, flags + chunk(b"ICCP", b"odd") + image + chunk(b"EXIF", b"e" * 9) + chunk(b"XMP ", b"<x/>"), chunk(b"what", b"VP8L?") + image):
+        data = b"RIFF" + struct.pack("<I", 4 + len(chunks)) + b"WEBP" + chunks
+        assert np.array_equal(webp.decode(data), pixels)
+    with pytest.raises(ValueError):
+        webp.decode(b"RIFF" + struct.pack("<I", 4 + len(flags)) + b"WEBP" + flags)
+
+
 def test_broken_streams_fail():
     good = webp.encode_payload(bytes(range(256)))
     for bad in (b"", good[:40], good[:20] + b"\0" + good[21:], good[:-100]):
