@@ -63,6 +63,7 @@ def with_rank(
     bucket: Sequence[Column],
     order: Sequence[Column],
     name: str = "rank",
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Add a gapless 0-based long rank inside the groups of ``within``.
 
@@ -70,12 +71,14 @@ def with_rank(
     group is cut into ordered buckets: their counts are pre-aggregated, the
     prefix sum runs over the small table of buckets, and only the rows of one
     bucket are sorted together.  ``within`` and ``bucket`` must not be null.
-    ``order`` should be total up to identical rows, so that reruns agree.
+    ``order`` should be total up to identical rows, so that reruns agree.  ``counted`` has the
+    columns of ``within`` and ``bucket`` of the same rows, if that is cheaper to count than ``df``.
     """
     marks = [f"_b{i}" for i in range(len(bucket))]
     marked = df.withColumns(dict(zip(marks, bucket)))
     keys = [*within, *marks]
-    counts = marked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    light = marked if counted is None else counted.withColumns(dict(zip(marks, bucket)))
+    counts = light.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*within).orderBy(*marks).rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     inside = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long")

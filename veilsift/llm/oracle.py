@@ -42,17 +42,24 @@ targets AS (
   SELECT *, least((2 * source_size)::DOUBLE, max(level) OVER () * weight) AS target,
     ('0x' || substr(md5('mix:' || has_source::INT::VARCHAR || ':' || name), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS shift
   FROM levels),
-ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY has_source, name ORDER BY length(bin(size)),
-      left(h, CASE WHEN total <= 20000 THEN 0 WHEN total <= 320000 THEN 1 WHEN total <= 5120000 THEN 2 ELSE 3 END), size, h, doc_id) - 1 AS rank
-  FROM docs, (SELECT count(*) AS total FROM docs)),
-drawn AS (
-  SELECT r.*, t.source_size, t.target, t.shift, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0::DOUBLE END AS copies
-  FROM ranked r JOIN targets t USING (has_source, name))
-SELECT doc_id, size::BIGINT AS size, source_size, target,
-  ((floor((rank + 1) * copies + shift) - floor(rank * copies + shift))::BIGINT * size)::BIGINT AS taken,
-  (floor((rank + 1) * copies + shift) - floor(rank * copies + shift))::BIGINT AS copies_taken
-FROM drawn
+held AS (
+  SELECT d.*, t.source_size, t.target, t.shift,
+    CASE WHEN d.size > 0.25::DOUBLE * t.target THEN 0 WHEN d.size > 0.0625::DOUBLE * t.target THEN 1
+      WHEN d.size > 0.015625::DOUBLE * t.target THEN 2 WHEN d.size > 0.00390625::DOUBLE * t.target THEN 3 ELSE 4 END AS layer
+  FROM docs d JOIN targets t USING (has_source, name)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY has_source, name, layer ORDER BY size, h, doc_id) - 1 AS rank FROM held),
+known0 AS (SELECT has_source, name, shift, target, source_size, source_size AS rest, 0.0::DOUBLE AS taken FROM targets),
+""" + "".join(f"""
+copies{k} AS (SELECT *, CASE WHEN rest > 0 THEN least(2.0::DOUBLE, greatest(0.0::DOUBLE, (target - taken) / rest::DOUBLE)) ELSE 0.0::DOUBLE END AS c FROM known{k}),
+drawn{k} AS (
+  SELECT r.doc_id, r.size, r.source_size, r.target, has_source, name, floor((rank + 1) * c + r.shift) - floor(rank * c + r.shift) AS times
+  FROM ranked r JOIN copies{k} USING (has_source, name) WHERE layer = {k}),
+known{k + 1} AS (
+  SELECT k.has_source, k.name, k.shift, k.target, k.source_size, rest - coalesce(s, 0) AS rest, taken + coalesce(w, 0) AS taken
+  FROM known{k} k LEFT JOIN (SELECT has_source, name, sum(size) AS s, sum(times * size) AS w FROM drawn{k} GROUP BY has_source, name) USING (has_source, name)),"""
+    for k in range(5)) + """
+drawn AS (SELECT * FROM drawn0 UNION ALL SELECT * FROM drawn1 UNION ALL SELECT * FROM drawn2 UNION ALL SELECT * FROM drawn3 UNION ALL SELECT * FROM drawn4)
+SELECT doc_id, size::BIGINT AS size, source_size, target, (times::BIGINT * size)::BIGINT AS taken, times::BIGINT AS copies_taken FROM drawn
 """
 
 OP7 = r"""

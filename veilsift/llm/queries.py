@@ -18,7 +18,7 @@ def _documents(operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSes
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": _documents(lambda d: minhash.near_duplicates(d, width=3, num=85, den=100)),
     "op2_lossless_webp": _documents(webp.media_digest),
-    "op3_mix_sources": _documents(lambda d: mixing.mix(d).drop("h")),
+    "op3_mix_sources": _documents(mixing.mix),
     "op4_license_scan": _documents(licenses.license_scan),
     "op5_reshard": _documents(sharding.reshard),
     "op6_count_tokens": _documents(tokens.count_tokens),
