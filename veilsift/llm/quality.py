@@ -1,51 +1,54 @@
 """Quality rules as a short-circuit cascade, in built-in functions only.
 
-Every rule is a boolean column.  A bounded sample gives each rule's rejection rate
+Every rule is a boolean column.  A sample by hash over the whole table gives each rule's rejection rate
 and its cost, that of the measures it reads included; rules are then asked in the order of
 rejections per cost, and a ``CASE`` stops at the first that rejects.  The one costly measure, the
-repeated words, is taken only of texts that no rule before it rejects.  The order changes the
-work, never the verdict, so noise in the timings can't change a result.
+repeated words, is taken only of texts that no rule before it rejects.  Costs are counted work, not
+seconds, so the same table always gives the same order; the order changes the work, never the verdict.
 """
 
 from __future__ import annotations
 
-import time
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, durable
+from .common import SPACES
 
-#: Rows of the sample that costs and rejection rates are taken from.
+#: Expected rows of the sample that costs and rejection rates are taken from.
 SAMPLE_ROWS = 1000
-#: Longer texts stay out of the sample, which passes through the driver.
-SAMPLE_BYTES = 32 << 10
+#: Steps of the sample's hash; a table of more rows than this times ``SAMPLE_ROWS`` gives a larger sample.
+HASH_STEPS = 1 << 40
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``rejects`` is SQL over the measures and over ``text`` and ``words``."""
+    """``rejects`` is SQL over the measures and over ``text`` and ``words``; ``work`` counts its steps.
+
+    A step is a character read or written, or an element of a list moved.
+    """
 
     name: str
     rejects: str
+    work: str
 
 
 #: Conservative limits: each describes junk that no prose comes near.
 RULES = (
-    Rule("symbols", "4 * n_symbols > n_words"),
-    Rule("duplicate_lines", "100 * n_dup_lines > 30 * n_lines and n_dup_lines >= 3"),
-    Rule("word_length", "word_chars < 2 * n_words or word_chars > 15 * n_words"),
-    Rule("shouting", "5 * regexp_count(text, '!') > n_words"),
-    Rule("bars", "5 * (size(split(text, '[|]', -1)) - 1) > n_words"),
-    Rule("letterless_words", "10 * size(filter(words, w -> w rlike r'\\p{L}')) < 6 * n_words"),
+    Rule("symbols", "4 * n_symbols > n_words", "length(text)"),
+    Rule("duplicate_lines", "100 * n_dup_lines > 30 * n_lines and n_dup_lines >= 3", "2 * length(text) + 4 * n_lines"),
+    Rule("word_length", "word_chars < 2 * n_words or word_chars > 15 * n_words", "1"),
+    Rule("shouting", "5 * regexp_count(text, '!') > n_words", "length(text)"),
+    Rule("bars", "5 * (size(split(text, '[|]', -1)) - 1) > n_words", "2 * length(text)"),
+    Rule("letterless_words", "10 * size(filter(words, w -> w rlike r'\\p{L}')) < 6 * n_words", "4 * n_words"),
 )
 
 #: Fixed by the contract; they take part in the order as all others do.
 BASE_RULES = (
-    Rule("few_words", "n_words < 50"),
-    Rule("repeats", "100 * n_repeat_words > 50 * n_words"),
+    Rule("few_words", "n_words < 50", "1"),
+    Rule("repeats", "100 * n_repeat_words > 50 * n_words", "n_words * (8 + 2 * log2(n_words + 1))"),
 )
 BASE_FAILED = " or ".join(r.rejects for r in BASE_RULES)
 COSTLY = "n_repeat_words"
@@ -103,34 +106,27 @@ def _with_repeats(light: DataFrame, asked: str = "true") -> DataFrame:
     return windows.select("*", F.expr(_COVERED).cast("long").alias(COSTLY)).drop("windows")
 
 
-def estimate(docs: DataFrame, rules: Sequence[Rule] = RULES, rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
-    """``(rule, rejection rate, seconds)`` from at most ``rows`` texts of at most ``SAMPLE_BYTES``.
+def sampled(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """About ``rows`` rows of ``docs``, chosen by a hash of the id over the whole table; all of a small table."""
+    total = max(1, docs.count())
+    limit = min(HASH_STEPS, -(-HASH_STEPS * rows // total))
+    return docs.where(F.pmod(F.xxhash64(F.lit("rules"), "doc_id"), F.lit(HASH_STEPS)) < limit)
 
-    They are the first that a few tasks find, so that the sample costs no pass over the
-    table; they only decide in which order the rules are asked.  A rule's seconds are the better
-    of two runs, its measures included, less those of a rule that only cuts the text into words.
-    """
-    short = docs.select("text").where(F.octet_length("text") <= SAMPLE_BYTES)
-    texts = docs.sparkSession.createDataFrame([(0, r[0]) for r in short.take(rows)], "doc_id int, text string")
-    sample = durable(texts, "rule-sample")
 
-    def asked(rejects: str) -> tuple[int, float]:
-        hits, best = 0, float("inf")
-        for _ in range(2):
-            began = time.perf_counter()
-            # Measures that the rule does not read are pruned.
-            hits = measures(sample).agg(F.coalesce(F.sum(F.expr(rejects).cast("long")), F.lit(0))).first()[0]
-            best = min(best, time.perf_counter() - began)
-        return hits, best
+def estimate(docs: DataFrame, rules: Sequence[Rule] = RULES, rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
+    """``(rule, rejection rate, work per text)`` over a sample of about ``rows`` whole texts.
 
-    total = max(1, sample.count())
-    free = asked("n_words < 0")[1]
-    return [(rule, hits / total, max(0.0, cost - free)) for rule, (hits, cost) in ((r, asked(r.rejects)) for r in rules)]
+    The sample stays distributed; what reaches the driver is two numbers per rule.
+    """
+    hits = (F.coalesce(F.avg(F.expr(r.rejects).cast("double")), F.lit(0.0)).alias(f"hits_{r.name}") for r in rules)
+    work = (F.coalesce(F.avg(F.expr(r.work).cast("double")), F.lit(0.0)).alias(f"work_{r.name}") for r in rules)
+    known = measures(sampled(docs, rows)).agg(*hits, *work).first()
+    return [(r, known[f"hits_{r.name}"], known[f"work_{r.name}"]) for r in rules]
 
 
 def ordered(estimates: Sequence[tuple[Rule, float, float]]) -> list[Rule]:
-    """Most rejections per second first; ties by name."""
-    return [r for r, rate, cost in sorted(estimates, key=lambda e: (-e[1] / max(e[2], 1e-6), e[2], e[0].name))]
+    """Most rejections per work first; of equal ones the cheaper, then by name."""
+    return [r for r, rate, cost in sorted(estimates, key=lambda e: (-e[1] / max(e[2], 1.0), e[2], e[0].name))]
 
 
 def cascade(rules: Sequence[Rule]) -> Column:
@@ -163,13 +159,17 @@ def quality(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = S
 
 
 def keep_good(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """``docs`` without the rows that the rules reject, all columns as they were."""
+    """``docs`` without the rows that the rules reject, all columns as they were.
+
+    Null, empty and short texts are rejected; null and repeated ids are judged row by row.
+    """
     whole = docs.select(F.struct(*docs.columns).alias("doc_id"), "text")
     order = ordered(estimate(docs, BASE_RULES + tuple(rules), sample_rows))
     costly = next((i for i, r in enumerate(order) if COSTLY in r.rejects), len(order))
     light = _light_measures(whole).select("*", cascade(order[:costly]).alias("rejected_by"))
     kept = F.col("rejected_by").isNull() & cascade(order[costly:]).isNull()
     # A filter would be pushed below the measures and evaluate each of them anew for every rule;
-    # a generator stays above them.
+    # nothing moves through an outer generator.
     measured = _with_repeats(light, "rejected_by is null")
-    return measured.select(F.explode(F.when(kept, F.array("doc_id"))).alias("row")).select("row.*")
+    rows = measured.select(F.explode_outer(F.when(kept, F.array("doc_id"))).alias("row"))
+    return rows.where("row is not null").select("row.*")
