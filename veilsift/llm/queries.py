@@ -20,7 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_lossless_webp": _documents(webp.media_digest),
     "op3_mix_sources": _documents(mixing.mix),
     "op4_license_scan": _documents(licenses.license_scan),
-    "op5_reshard": _documents(sharding.reshard),
+    "op5_reshard": _documents(sharding.resharded_files),
     "op6_count_tokens": _documents(tokens.count_tokens),
     "op7_quality_rules": _documents(quality.quality),
     "op8_best_fit_packing": _documents(packing.pack),

@@ -1,24 +1,33 @@
 """Minimum-cost-flow resharding.
 
-The old shards are described by blocks: rows of one old shard and one size class, with
-their number and bytes.  The new capacities differ by one row at most.  A minimum-cost flow
-from blocks to new shards, where staying is free and moving a row costs its block's mean
-bytes, says how many rows of each block go where.  Rows take their place by their rank in
-their block; only shards that give or take rows are rewritten.
+The new capacities differ by one row at most.  A minimum-cost flow from blocks of the old shards to
+the new shards, where staying is free and moving a row costs its bytes, says which rows go where.
+Whoever gives rows away gives the lightest, so only three blocks of an old shard matter: the heaviest rows
+up to the smaller capacity, the one row that the larger capacity still holds, and the rest.  All
+rows of a block share one fate in a cheapest plan but where they fill up shards that gave nothing, so the
+bytes moved are the fewest for single rows too.  Rows take their place by their rank by size in their old
+shard; only shards that give or take rows are rewritten.
 """
 
 from __future__ import annotations
 
 import heapq
+import uuid
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, partitions_for, with_rank
+from .common import durable, shared_dir, with_rank
 
 OLD_SHARDS = 16
 NEW_SHARDS = 24
-BUCKET_ROWS = 20_000
+#: Tasks over which rows of one old shard and size are dealt by hash.
+SPREAD = 256
+#: Bytes of rows that one file of a shard holds, about.
+FILE_BYTES = 256 << 20
+#: The old shard of rows without one: no number of a shard, so all of them move.
+NOWHERE = -1
 
 
 def min_cost_flow(n: int, arcs: list[tuple[int, int, int, float]], source: int, sink: int) -> list[int]:
@@ -63,114 +72,189 @@ def min_cost_flow(n: int, arcs: list[tuple[int, int, int, float]], source: int,
             v = head[via[v] ^ 1]
 
 
-def transfers(blocks: list[tuple[int, int, int, int]], shards: int) -> list[tuple[int, int, int, int, int, int]]:
+def transfers(old: dict[int, list[tuple[int, int]]], shards: int) -> list[tuple[int, int, int, int, int]]:
     """Solve the block transfers.
 
-    ``blocks``: ``(old shard, class, rows, bytes)``.  Returns ``(old shard, class, low, high, new
-    shard, slot)``: the rows of the block with rank ``low <= r < high`` go to the new shard, into
-    the slots from ``slot`` on.
+    ``old``: for each old shard its blocks ``(rows, bytes)``, heaviest rows first.  Returns
+    ``(old shard, low, high, new shard, slot)``: the rows of the old shard with rank ``low <= r < high`` go
+    to the new shard, into the slots from ``slot`` on.
     """
-    total = sum(b[2] for b in blocks)
-    old = {}
-    for shard, _, rows, _ in blocks:
-        old[shard] = old.get(shard, 0) + rows
-    # The shards with most rows of their own keep the odd rows.
-    extra = set(sorted(range(shards), key=lambda s: (-old.get(s, 0), s))[: total % shards])
-    capacity = [total // shards + (s in extra) for s in range(shards)]
-    source, hub, first_new, first_block = 0, 1, 2, 2 + shards
+    blocks = [(shard, rows, size) for shard in sorted(old) for rows, size in old[shard] if rows]
+    total = sum(rows for _, rows, _ in blocks)
+    # Every shard takes its base; of the odd rows that are left each takes one at most.
+    base, odd = divmod(total, shards)
+    source, hub, spare, first_new = 0, 1, 2, 3
+    first_block = first_new + shards
     sink = first_block + len(blocks)
     arcs = []
-    for i, (shard, _, rows, size) in enumerate(blocks):
+    for i, (shard, rows, size) in enumerate(blocks):
         arcs.append((source, first_block + i, rows, 0.0))
         arcs.append((first_block + i, hub, rows, size / rows))
-        if shard < shards:
+        if 0 <= shard < shards:
             arcs.append((first_block + i, first_new + shard, rows, 0.0))
     arcs += [(hub, first_new + s, total, 0.0) for s in range(shards)]
-    arcs += [(first_new + s, sink, capacity[s], 0.0) for s in range(shards)]
+    arcs += [(first_new + s, sink, base, 0.0) for s in range(shards)]
+    arcs += [(first_new + s, spare, 1, 0.0) for s in range(shards)]
+    arcs.append((spare, sink, odd, 0.0))
     flow = min_cost_flow(sink + 1, arcs, source, sink)
-    stays, leaves, takes = {}, {}, [0] * shards
+    stays, takes = [0] * len(blocks), [0] * shards
     for (tail, to, _, _), f in zip(arcs, flow):
-        if tail >= first_block and to == hub:
-            leaves[tail - first_block] = f
-        elif tail >= first_block and to != sink:
+        if tail >= first_block and to >= first_new:
             stays[tail - first_block] = f
         elif tail == hub:
             takes[to - first_new] = f
     used, out, to = [0] * shards, [], 0
-    for i, (shard, klass, rows, _) in enumerate(blocks):
-        at = stays.get(i, 0)
-        if at:
-            out.append((shard, klass, 0, at, shard, used[shard]))
-            used[shard] += at
-        left = leaves.get(i, 0)
-        while left:
+    rank: dict[int, int] = {}
+    leaving = []
+    for (shard, rows, _), stay in zip(blocks, stays):
+        at = rank.get(shard, 0)
+        rank[shard] = at + rows
+        if stay:
+            out.append((shard, at, at + stay, shard, used[shard]))
+            used[shard] += stay
+        if stay < rows:
+            leaving.append((shard, at + stay, at + rows))
+    for shard, at, end in leaving:
+        while at < end:
             while not takes[to]:
                 to += 1
-            n = min(left, takes[to])
-            out.append((shard, klass, at, at + n, to, used[to]))
+            n = min(end - at, takes[to])
+            out.append((shard, at, at + n, to, used[to]))
             used[to] += n
             takes[to] -= n
-            at, left = at + n, left - n
+            at += n
     return out
 
 
-def reshard(docs: DataFrame, old_shards: int = OLD_SHARDS, new_shards: int = NEW_SHARDS, old_shard: str | None = None) -> DataFrame:
-    """Deal ``docs`` from its old shards to ``new_shards`` shards, law ``rows``.
+def _facts(docs: DataFrame, old_shards: int, old_shard: str | None) -> dict[str, Column]:
+    text = F.coalesce("text", F.lit(""))
+    if old_shard:
+        old = F.coalesce(F.col(old_shard).cast("int"), F.lit(NOWHERE))
+    else:
+        old = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(old_shards)).cast("int")
+    return {
+        "size": (F.octet_length(text) + 8).cast("long"),
+        "text_crc32": F.crc32(text.cast("binary")),
+        "old_shard": old,
+        "spread": F.pmod(F.xxhash64("doc_id", "text"), F.lit(SPREAD)),
+    }
 
-    The old shard is the column ``old_shard``, or else the crc32 of the id modulo
-    ``old_shards``.  Returns ``doc_id, size, text_crc32, law, shard, slot, grown_shard,
-    old_shard``.
 
-    Null text: size 8, checksum of the empty text; null id: as the empty id.  Repeated
-    rows: a place each, identical ones interchangeable.  The histogram and the plan have a row per
-    old shard and size class, whatever the number of documents.  Other columns are not read.
-    """
-    spark = docs.sparkSession
-    text = F.coalesce("text", F.lit(""))
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    old = F.col(old_shard).cast("int") if old_shard else F.pmod(F.crc32(key), F.lit(old_shards)).cast("int")
-    table = durable(
-        docs.select(
-            "doc_id",
-            (F.octet_length(text) + 8).cast("long").alias("size"),
-            F.crc32(text.cast("binary")).alias("text_crc32"),
-            old.alias("old_shard"),
-        ).withColumn("size_class", F.length(F.bin("size"))),
-        "sizes",
-    )
-    by_block = table.groupBy("old_shard", "size_class").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
-    blocks = sorted(tuple(r) for r in by_block.collect())
-    plan = spark.createDataFrame(
-        transfers(blocks, new_shards), "old_shard int, size_class int, low long, high long, shard int, first long"
-    )
-    buckets = partitions_for(max((b[2] for b in blocks), default=1), BUCKET_ROWS)
-    spread = F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(buckets))
-    ranked = with_rank(table, ["old_shard", "size_class"], [spread], [F.col("size"), F.col("doc_id"), F.col("text_crc32")])
-    dealt = ranked.alias("r").join(
-        F.broadcast(plan).alias("p"),
-        F.expr("r.old_shard = p.old_shard and r.size_class = p.size_class and rank >= low and rank < high"),
-    )
-    return dealt.select(
+def _ranked(rows: DataFrame, counted: DataFrame, order: list[Column]) -> DataFrame:
+    """Rank in the old shard, the heaviest row first."""
+    return with_rank(rows, ["old_shard"], [-F.col("size"), F.col("spread")], [F.col("doc_id"), F.col("text_crc32"), *order], counted=counted)
+
+
+def _blocks(table: DataFrame, shards: int) -> dict[int, list[tuple[int, int]]]:
+    """The three blocks of each old shard; a number of rows that depends on the shards alone reaches the driver."""
+    base, rank = table.count() // shards, F.col("rank")
+    part = F.when(rank < base, 0).when(rank == base, 1).otherwise(2)
+    cut = _ranked(table, table, []).groupBy("old_shard", part.alias("part")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+    out: dict[int, list[tuple[int, int]]] = {}
+    for shard, _, rows, size in sorted(cut.collect()):
+        out.setdefault(shard, []).append((rows, size))
+    return out
+
+
+@dataclass(frozen=True)
+class Plan:
+    """``table``: the sizes of all rows; ``runs``: ``(old shard, low, high, shard, slot)`` as ``transfers`` gives them."""
+
+    table: DataFrame
+    runs: list[tuple[int, int, int, int, int]]
+    facts: dict[str, Column]
+
+    def changed(self) -> list[int]:
+        """Shards that a row left or came to."""
+        return sorted({s for o, _, _, to, _ in self.runs if o != to for s in (o, to) if s != NOWHERE})
+
+    def placed(self, docs: DataFrame | None = None) -> DataFrame:
+        """Every row's place; whole rows of ``docs`` as ``row``, if those are given."""
+        spark = self.table.sparkSession
+        if docs is None:
+            ranked = _ranked(self.table, self.table, [])
+        else:
+            others = F.to_json(F.struct(F.lit(0), *(c for c in docs.columns if c not in ("doc_id", "text"))))
+            rows = docs.select("doc_id", F.struct(*docs.columns).alias("row"), others.alias("_others"), *(c.alias(n) for n, c in self.facts.items()))
+            ranked = _ranked(rows, self.table, [F.col("_others")])
+        # A few runs per old and new shard, whatever the number of documents.
+        runs = spark.createDataFrame(self.runs, "o int, low long, high long, shard int, first long")
+        dealt = ranked.join(F.broadcast(runs), F.expr("old_shard = o and rank >= low and rank < high"))
+        return dealt.withColumn("slot", F.expr("first + rank - low"))
+
+
+def planned(docs: DataFrame, old_shards: int = OLD_SHARDS, new_shards: int = NEW_SHARDS, old_shard: str | None = None) -> Plan:
+    """The cheapest plan; the old shard is the column ``old_shard``, or else the id's crc32 modulo ``old_shards``."""
+    facts = _facts(docs, old_shards, old_shard)
+    table = durable(docs.select("doc_id", *(c.alias(n) for n, c in facts.items())), "sizes")
+    return Plan(table, transfers(_blocks(table, new_shards), new_shards), facts)
+
+
+def _described(rows: DataFrame) -> DataFrame:
+    return rows.select(
         "doc_id",
         "size",
         "text_crc32",
         F.lit("rows").alias("law"),
-        "shard",
-        F.expr("first + rank - low").alias("slot"),
+        F.col("shard").cast("int").alias("shard"),
+        "slot",
         F.lit(None).cast("int").alias("grown_shard"),
-        F.col("r.old_shard").alias("old_shard"),
+        "old_shard",
     )
 
 
-def rewrite(docs: DataFrame, dealt: DataFrame, out: str) -> list[int]:
-    """Write the shards that changed under ``out/shard=N`` and return their numbers.
+def reshard(docs: DataFrame, **options) -> DataFrame:
+    """Places of ``docs`` in the new shards, law ``rows``; options as for ``planned``.
+
+    Returns ``doc_id, size, text_crc32, law, shard, slot, grown_shard, old_shard``.
+
+    Null text: size 8, checksum of the empty text; null id: as the empty id; null old shard: a row that is
+    in no shard yet.  Repeated rows: a place each, identical ones interchangeable; ranks go by size, hash, id
+    and checksum.  An empty table has no places.  Other columns are not read.
+    """
+    return _described(planned(docs, **options).placed())
+
+
+def rewrite(docs: DataFrame, plan: Plan, out: str, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """Write the shards that changed under ``out/shard=N``: whole rows in the order of their slots.
+
+    Every row brings its own place, so null and repeated ids lose or gain nothing; rows that agree in id
+    and text go by their other columns.  The files of unchanged shards stay where they are.  A shard is
+    written in several files, each a range of slots.  Returns what was written: ``old_shard, slot, row, shard``.
+    """
+    total, size = plan.table.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    per_file = max(1, total * file_bytes // max(1, size))
+    changed = plan.changed()
+    rows = {s: sum(high - low for _, low, high, to, _ in plan.runs if to == s) for s in changed}
+    files = max(1, sum(-(-n // per_file) for n in rows.values()))
+    chosen = plan.placed(docs).where(F.col("shard").isin(changed)).select("old_shard", "slot", "row", "shard")
+    dealt = chosen.repartition(files, "shard", F.floor(F.col("slot") / per_file)).sortWithinPartitions("shard", "slot")
+    dealt.write.mode("overwrite").partitionBy("shard").option("compression", "zstd").parquet(out)
+    return docs.sparkSession.read.schema(chosen.schema).parquet(out)
+
+
+def resharded_files(docs: DataFrame, **options) -> DataFrame:
+    """Reshard ``docs`` into files in the shared folder and describe every row from the files.
 
-    A shard changed if a row left it or came to it; the files of all others can stay.
-    ``docs`` must have unique ids here.
+    The columns and cases of ``reshard``; sizes and checksums are those of the texts read back.  Rows of
+    shards that did not change are described where they are.
     """
-    moved = dealt.where("shard <> old_shard").select(F.explode(F.array("shard", "old_shard")).alias("s")).distinct()
-    touched = sorted(r["s"] for r in moved.collect())  # at most one number per shard
-    places = dealt.where(F.col("shard").isin(touched)).select("doc_id", "shard", "slot")
-    rows = docs.join(places, "doc_id").repartition("shard").sortWithinPartitions("shard", "slot")
-    rows.write.mode("overwrite").partitionBy("shard").parquet(out)
-    return touched
+    plan = planned(docs, **options)
+    changed = plan.changed()
+    stayed = plan.placed().where(~F.col("shard").isin(changed))
+    if not changed:
+        return _described(stayed)
+    read = rewrite(docs, plan, f"{shared_dir(docs.sparkSession)}/veilsift/shards-{uuid.uuid4().hex}")
+    text = F.coalesce("row.text", F.lit(""))
+    found = _described(
+        read.select(
+            "old_shard",
+            "slot",
+            "shard",
+            F.col("row.doc_id").alias("doc_id"),
+            (F.octet_length(text) + 8).cast("long").alias("size"),
+            F.crc32(text.cast("binary")).alias("text_crc32"),
+        )
+    )
+    whole = set(changed) >= {to for _, _, _, to, _ in plan.runs}
+    return found if whole else found.unionByName(_described(stayed))
