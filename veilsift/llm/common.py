@@ -79,8 +79,16 @@ def with_rank(
     keys = [*within, *marks]
     light = marked if counted is None else counted.withColumns(dict(zip(marks, bucket)))
     counts = light.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*within).orderBy(*marks).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    # A prefix sum per level of buckets, so that no task holds the buckets of a whole hot group.
+    starts = None
+    for depth in range(len(bucket)):
+        group, mark = keys[: len(within) + depth], marks[depth]
+        level = counts.groupBy(*group, mark).agg(F.sum("_n").alias("_n"))
+        before = Window.partitionBy(*group).orderBy(mark).rowsBetween(Window.unboundedPreceding, -1)
+        level = level.select(*group, mark, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+        if starts is not None:
+            level = level.join(starts, group).withColumn("_before", F.col("_before") + F.col("_start"))
+        starts = level.select(*group, mark, F.col("_before").alias("_start"))
     inside = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long")
     ranked = marked.withColumn("_i", inside).join(starts, keys)
     return ranked.withColumn(name, F.col("_start") + F.col("_i") - 1).drop(*marks, "_i", "_start")

@@ -18,14 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, map_batches, partitions_for, text_bytes, with_rank
+from .common import durable, map_batches, text_bytes, with_rank
 from .tokens import _PLAIN_TEXT, byte_marks, load, vocabulary_path
 
 PACK_VOCABULARY = "byte_bpe_50k.json"
 CAPACITY = 1024
 END_ID = 2
-#: Rows that one sorted bucket of a length should hold.
-BUCKET_ROWS = 20_000
+#: Tasks over which the pieces of one length are dealt by hash.
+SPREAD = 256
 
 
 class TokenIds:
@@ -153,8 +153,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) ->
     runs = best_fit(counts, capacity)
     # At most one row per length and free space: bounded by the capacity, not the data.
     plan = spark.createDataFrame(runs, "l long, low long, high long, sequence long, each long, at long")
-    buckets = partitions_for(max(counts.values(), default=1), BUCKET_ROWS)
-    spread = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets))
+    spread = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SPREAD))
     ranked = with_rank(cut, ["length"], [spread], [F.col("doc_id"), F.col("piece"), F.col("ids_crc32")])
     placed = ranked.join(F.broadcast(plan), F.expr("length = l and rank >= low and rank < high"))
     return placed.select(
