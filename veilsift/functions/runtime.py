@@ -8,7 +8,8 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
 
@@ -41,6 +42,16 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= wanted else df.repartition(wanted)
 
 
+def evaluated(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with ``columns``, each evaluated once per row however often it is used above.
+
+    Projections and filters above would otherwise be merged into the plan below, expression by
+    expression.  The optimizer infers nothing from an outer generator and moves nothing through it.
+    """
+    row = F.struct(*(c.alias(name) for name, c in columns.items()))
+    return df.select("*", F.explode_outer(F.array(row)).alias("_once")).select(*df.columns, "_once.*")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 

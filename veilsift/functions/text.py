@@ -5,13 +5,16 @@ Java's ``\\s`` and ``trim`` differ from Unicode white space, so the class is spe
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The characters that count as white space, are invisible, or turn direction.
 WS = "[\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
+WS_BUT_SPACE = WS.replace("\\x1c-\\x20", "\\x1c-\\x1f")
 ZERO_WIDTH = {
     "​": "ZERO WIDTH SPACE",
     "‌": "ZERO WIDTH NON-JOINER",
@@ -45,7 +48,8 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def collapse(text: Column) -> Column:
     """Runs of white space as one space, none at the ends."""
-    return F.trim(F.regexp_replace(text, f"{WS}+", " "))
+    # A lone space stays as it is, so it need not be replaced.
+    return F.trim(F.regexp_replace(text, f"{WS}{{2,}}|{WS_BUT_SPACE}", " "))
 
 
 def strip(text: Column) -> Column:
@@ -53,15 +57,17 @@ def strip(text: Column) -> Column:
 
 
 def is_blank(text: Column) -> Column:
-    return F.coalesce(text, F.lit("")).rlike(f"^{WS}*$")
+    # A search for what is not white space ends at the first such character.
+    return ~F.coalesce(text, F.lit("")).rlike(f"[^{WS[1:]}")
 
 
 def has_non_ascii(text: Column) -> Column:
-    return text.rlike("[^\\x00-\\x7F]")
+    return F.octet_length(text) != F.char_length(text)
 
 
 def strip_invisible(text: Column) -> Column:
-    return F.regexp_replace(text, FORMAT, "")
+    """``text`` without format characters; ASCII has none."""
+    return F.when(has_non_ascii(text), F.regexp_replace(text, FORMAT, "")).otherwise(text)
 
 
 def joined_nonempty(*texts: Column) -> Column:
@@ -75,6 +81,11 @@ def around(text: Column, start: Column, end: Column, window: int = 60) -> Column
     return collapse(F.substring(text, low + 1, end + window - low))
 
 
+def holds_any(text: Column, chars: Iterable[str]) -> Column:
+    """Whether a text holds one of the characters: searches for bytes, many times as fast as a class of a regex."""
+    return reduce(or_, (text.contains(c) for c in chars))
+
+
 def count_of(text: Column, chars: dict[str, str]) -> Column:
     return F.char_length(text) - F.char_length(F.translate(text, "".join(chars), ""))
 

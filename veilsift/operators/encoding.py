@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import BIDI, ZERO_WIDTH, bound, collapse, count_of, first_of, has_non_ascii, is_blank, names_of, strip_invisible
+from ..functions.text import BIDI, ZERO_WIDTH, bound, collapse, count_of, first_of, has_non_ascii, holds_any, is_blank, names_of, strip_invisible
 from ..plans.model import FINDINGS, STAGES, finding, no_findings
 
 # Alarm levels and the scripts that imitate Latin letters.
@@ -21,6 +21,8 @@ SCRIPTS = {
     "greek": "\\u0370-\\u03FF\\u1F00-\\u1FFF",
     "latin": "\\u0041-\\u024F\\u1E00-\\u1EFF",
 }
+#: All but Latin, as few ranges.
+NOT_LATIN = "\\u0370-\\u058F\\u13A0-\\u13FF\\u1F00-\\u1FFF"
 WORD = "[\\p{L}\\p{Nl}\\p{No}]{3,}"
 
 
@@ -47,7 +49,9 @@ def unicode_findings(text: Column, source: str, stream: int) -> Column:
             source=F.lit(source),
         )
         out.append(F.when(n >= least, F.array(f)).otherwise(no_findings()))
-    return F.concat(*out).cast(FINDINGS)
+    # A plain search rules most texts out; none of these characters is ASCII.
+    held = has_non_ascii(text) & holds_any(text, ZERO_WIDTH | BIDI)
+    return F.when(held, F.concat(*out)).otherwise(no_findings()).cast(FINDINGS)
 
 
 def script_names(word: Column) -> Column:
@@ -56,13 +60,16 @@ def script_names(word: Column) -> Column:
 
 def mixed_words(text: Column) -> Column:
     """``array<struct<word, scripts>>`` of words of more than one script, in order."""
-    # A word can mix scripts only if it leaves ASCII.
+    # A word can mix scripts only if it leaves ASCII, a text only if it leaves Latin.
     words = F.filter(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0)), has_non_ascii)
     named = F.transform(words, lambda w: F.struct(w.alias("word"), script_names(w).alias("scripts")))
-    return F.filter(named, lambda x: F.size(x["scripts"]) > 1)
+    mixed = F.filter(named, lambda x: F.size(x["scripts"]) > 1)
+    return F.when(has_non_ascii(text) & text.rlike(f"[{NOT_LATIN}]"), mixed).otherwise(F.array().cast("array<struct<word:string,scripts:array<string>>>"))
 
 
 def _moved(text: str) -> int:
+    if unicodedata.is_normalized("NFKC", text):
+        return 0
     normal = unicodedata.normalize("NFKC", text)
     return sum(a != b for a, b in zip(text, normal)) + abs(len(text) - len(normal))
 

@@ -7,13 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.matching import rule_spans
+from ..functions.matching import rule_spans, sql_text
 from ..functions.text import around
 from ..plans.model import FINDINGS, PHRASE_RULES, STAGES, Rule, finding
 
 
 def pattern_findings(
-    text: Column,
+    text: str,
     source: str,
     stream: int,
     rules: Sequence[Rule] = PHRASE_RULES,
@@ -22,10 +22,10 @@ def pattern_findings(
     stage: str = "instruction",
     reg: int = 5,
 ) -> Column:
-    """Findings of ordered rules in one stream; overlaps go to the earlier rule."""
+    """Findings of ordered rules in the column ``text``, one stream; overlaps go to the earlier rule."""
     spans = rule_spans(text, [r.pattern for r in rules])
-    severities = F.array(*(F.lit(r.severity) for r in rules))
-    messages = F.array(*(F.lit(r.message) for r in rules))
+    severities = F.expr(f"array({', '.join(sql_text(r.severity) for r in rules)})")
+    messages = F.expr(f"array({', '.join(sql_text(r.message) for r in rules)})")
     return F.transform(
         spans,
         lambda x: finding(
@@ -33,7 +33,7 @@ def pattern_findings(
             category,
             F.element_at(severities, x["rule"] + 1),
             F.element_at(messages, x["rule"] + 1),
-            around(text, x["start"], x["end"]),
+            around(F.col(text), x["start"], x["end"]),
             (STAGES[stage], reg, stream, x["rule"], x["start"]),
             matched=x["matched"],
             source=F.lit(source),

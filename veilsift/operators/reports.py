@@ -78,34 +78,72 @@ def rejected(verdict: Column, score: Column, auto_reject: bool = True, max_risk:
     return bad if auto_reject else F.lit(False)
 
 
+def rejection(verdict: Column, score: Column, findings: Column, refused: Column) -> Column:
+    """What a refused sender is told, null for others: ``struct<error, verdict, risk_score, findings_count>``."""
+    said = F.struct(
+        F.lit("Refused: the document hides text or instructs its reader.").alias("error"),
+        verdict.alias("verdict"),
+        score.alias("risk_score"),
+        F.size(findings).alias("findings_count"),
+    )
+    return F.when(refused, said)
+
+
 class RejectedDocument(ValueError):
-    """A malicious document among those to load; ``doc_ids`` names a few."""
+    """A malicious document among those to load; ``doc_ids`` names a few, ``results`` holds the results of all of them."""
 
-    def __init__(self, doc_ids: list):
+    def __init__(self, doc_ids: list, results: DataFrame | None = None):
         super().__init__(f"malicious documents: {doc_ids}")
-        self.doc_ids = doc_ids
+        self.doc_ids, self.results = doc_ids, results
 
 
 def loaded(results: DataFrame, reject: bool = True, strict: bool = False) -> DataFrame:
-    """``page_content, metadata`` for a downstream reader.
+    """``doc_id, page_content, metadata`` for a downstream reader.
 
-    ``reject`` leaves malicious documents out; ``strict`` raises for them instead.
+    ``reject`` leaves malicious documents out; ``strict`` raises for them instead.  The metadata names
+    verdict, score and number of findings, and source, file name and pages where the results know them.
     """
     if strict:
-        bad = [r["doc_id"] for r in results.where("verdict = 'malicious'").select("doc_id").take(5)]
-        if bad:
-            raise RejectedDocument(bad)
-    kept = results
-    if reject:
-        # A filter would be pushed into the plan below and evaluate the verdict's inputs anew.
-        row = F.when(F.col("verdict") != "malicious", F.array(F.struct("doc_id", "verdict", "risk_score", "findings", "sanitized_text")))
-        kept = results.select(F.explode(row).alias("r")).select("r.*")
-    metadata = F.create_map(
-        *(x for k in ("doc_id", "verdict", "risk_score") for x in (F.lit(k), F.col(k).cast("string"))),
-        F.lit("findings_count"),
-        F.size("findings").cast("string"),
-    )
-    return kept.select("doc_id", F.col("sanitized_text").alias("page_content"), metadata.alias("metadata"))
+        bad = results.where("verdict = 'malicious'")
+        if ids := [r["doc_id"] for r in bad.select("doc_id").take(5)]:
+            raise RejectedDocument(ids, bad)
+    about = [c for c in ("source", "filename", "pages") if c in results.columns]
+    row = F.struct("doc_id", "verdict", "risk_score", F.size("findings").alias("findings_count"), "sanitized_text", *about)
+    kept = F.col("verdict") != "malicious" if reject else F.lit(True)
+    # Plain filters would be pushed into the plan below and evaluate the verdict's inputs anew.
+    rows = results.select(F.explode_outer(F.array(F.when(kept, row))).alias("r")).where("r is not null").select("r.*")
+    named = ("doc_id", "verdict", "risk_score", "findings_count", *about)
+    metadata = F.map_filter(F.create_map(*(x for k in named for x in (F.lit(k), F.col(k).cast("string")))), lambda k, v: v.isNotNull())
+    return rows.select("doc_id", F.col("sanitized_text").alias("page_content"), metadata.alias("metadata"))
+
+
+def load_all(results: DataFrame, reject: bool = True, strict: bool = False) -> list:
+    """The rows of ``loaded`` at once, for results that fit the driver."""
+    return loaded(results, reject, strict).collect()
+
+
+def grouped(findings: Column) -> Column:
+    """Findings by category: ``array<struct<category, worst, n, findings>>``, the worst first, then the largest.
+
+    Inside a category the heaviest come first, equal ones in emission order.
+    """
+    names = F.array_distinct(F.transform(findings, lambda f: f["category"]))
+
+    def one(name: Column) -> Column:
+        held = F.filter(findings, lambda f: f["category"] == name)
+        ranked = F.array_sort(F.transform(held, lambda f, i: F.struct(severity_rank(f["severity"]).alias("rank"), i.alias("place"), f.alias("f"))), _by_rank)
+        return F.struct(F.get(ranked, F.lit(0))["rank"].alias("worst"), F.size(held).alias("n"), name.alias("category"), F.transform(ranked, lambda r: r["f"]).alias("findings"))
+
+    def order(a: Column, b: Column) -> Column:
+        x, y = F.struct(a["worst"], -a["n"], a["category"]), F.struct(b["worst"], -b["n"], b["category"])
+        return F.when(x < y, -1).when(x > y, 1).otherwise(0)
+
+    return F.array_sort(F.transform(names, one), order)
+
+
+def _by_rank(a: Column, b: Column) -> Column:
+    x, y = F.struct(a["rank"], a["place"]), F.struct(b["rank"], b["place"])
+    return F.when(x < y, -1).when(x > y, 1).otherwise(0)
 
 
 def evaluated(results: DataFrame, truth: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.runtime import ship_package
 from ..functions.text import collapse, is_blank, joined_nonempty
 from ..operators.aggregate import decided, deduped, escalated, in_order, sanitized
+from ..operators.differential import applied, longest_text, screened_twice
 from ..operators.divergence import divergence_layer
 from ..operators.encoding import normalization_findings, normalize_for_screening, unicode_findings
 from ..operators.instructions import pattern_findings
@@ -29,12 +30,17 @@ VISIBLE, HIDDEN, METADATA, DIVERGENT = "visible_text", "hidden_text", "metadata_
 TEXTS = (VISIBLE, HIDDEN, METADATA, DIVERGENT)
 EXTRACTOR_CHARS = 4000
 
-Builder = Callable[[int, ScreenConfig], Column]
+#: The same, normalised; such columns exist where the configuration asks to match normalised texts.
+NORMAL = {c: f"normal_{c}" for c in TEXTS}
+
+Builder = Callable[[int, ScreenConfig, Sequence[str]], Column]
 
 
 @dataclass(frozen=True)
 class Detector:
-    """``build(slot, config)`` gives an array of findings over a document row.
+    """``build(slot, config, held)`` gives an array of findings over a document row.
+
+    ``held`` names the text columns that can hold anything; nothing is built for others.
 
     Detectors whose findings come with the relations (structure, metadata, divergence) have no
     builder.
@@ -50,9 +56,10 @@ def concealed() -> Column:
     return joined_nonempty(F.col(HIDDEN), F.col(METADATA), F.col(DIVERGENT))
 
 
-def _streams(visible: bool, hidden: bool) -> list[tuple[str, str, int]]:
+def _streams(visible: bool, hidden: bool, held: Sequence[str]) -> list[tuple[str, str, int]]:
     out = [(VISIBLE, "visible", 0)] if visible else []
-    return out + ([(HIDDEN, "hidden", 1), (METADATA, "metadata", 2), (DIVERGENT, "hidden", 3)] if hidden else [])
+    out += [(HIDDEN, "hidden", 1), (METADATA, "metadata", 2), (DIVERGENT, "hidden", 3)] if hidden else []
+    return [x for x in out if x[0] in held]
 
 
 def pattern_detector(
@@ -66,13 +73,10 @@ def pattern_detector(
     """Ordered patterns over each stream; overlaps are suppressed within a stream only."""
     fixed = [r if isinstance(r, Rule) else Rule(r) if isinstance(r, str) else Rule(*r) for r in rules]
 
-    def build(slot: int, config: ScreenConfig) -> Column:
-        def text(column: str) -> Column:
-            return normalize_for_screening(F.col(column)) if config.normalize_before_match else F.col(column)
-
+    def build(slot: int, config: ScreenConfig, held: Sequence[str]) -> Column:
         each = [
-            pattern_findings(text(c), source, k, fixed, name, category, stage, slot)
-            for c, source, k in _streams(scan_visible, scan_concealed)
+            pattern_findings(NORMAL[c] if config.normalize_before_match else c, source, k, fixed, name, category, stage, slot)
+            for c, source, k in _streams(scan_visible, scan_concealed, held)
         ]
         return F.concat(*each) if each else no_findings()
 
@@ -81,7 +85,7 @@ def pattern_detector(
 
 def row_detector(name: str, function: Callable[[], Column], stage: str = "custom") -> Detector:
     """``function()`` gives an array of findings from the text columns of a row."""
-    return Detector(name, stage, lambda slot, config: function().cast(FINDINGS))
+    return Detector(name, stage, lambda slot, config, held: function().cast(FINDINGS))
 
 
 def python_detector(name: str, function: Callable[[dict], list[dict]], category: str = "semantic_injection", stage: str = "custom") -> Detector:
@@ -94,7 +98,7 @@ def python_detector(name: str, function: Callable[[dict], list[dict]], category:
     @F.pandas_udf("array<struct<severity:string,message:string,evidence:string,detail:map<string,string>>>")
     def call(rows: pd.DataFrame) -> pd.Series:
         def one(row) -> list:
-            found = function({k: row[k] or "" for k in rows.columns})
+            found = function(dict(zip(TEXTS, (t or "" for t in row))))
             return [
                 {
                     "severity": f.get("severity", "high"),
@@ -105,9 +109,9 @@ def python_detector(name: str, function: Callable[[dict], list[dict]], category:
                 for f in found
             ]
 
-        return pd.Series([one(row) for _, row in rows.iterrows()])
+        return pd.Series([one(row) for row in zip(*(rows[c] for c in TEXTS))])
 
-    def build(slot: int, config: ScreenConfig) -> Column:
+    def build(slot: int, config: ScreenConfig, held: Sequence[str]) -> Column:
         found = call(F.struct(*TEXTS))
         return F.transform(
             found,
@@ -148,7 +152,7 @@ def classifier_detector(
         for texts in batches:
             yield texts.map(one)
 
-    def build(slot: int, config: ScreenConfig) -> Column:
+    def build(slot: int, config: ScreenConfig, held: Sequence[str]) -> Column:
         def stream(text: Column, source: str, k: int) -> Column:
             found = classify(F.when(~is_blank(text), text))
             return F.transform(
@@ -167,13 +171,20 @@ def classifier_detector(
                 ),
             )
 
-        return F.concat(stream(F.coalesce(F.col(VISIBLE), F.lit("")), "visible", 0), stream(concealed(), "hidden", 1)).cast(FINDINGS)
+        parts = [stream(F.coalesce(F.col(VISIBLE), F.lit("")), "visible", 0)] if VISIBLE in held else []
+        parts += [stream(concealed(), "hidden", 1)] if set(held) - {VISIBLE} else []
+        return F.concat(no_findings(), *parts).cast(FINDINGS)
 
     return Detector(name, stage, build)
 
 
 def _encoding(which: Callable[[Column, str, int], Column]) -> Builder:
-    return lambda slot, config: F.concat(which(F.col(VISIBLE), "visible", 0), which(concealed(), "hidden", 1))
+    def build(slot: int, config: ScreenConfig, held: Sequence[str]) -> Column:
+        parts = [which(F.col(VISIBLE), "visible", 0)] if VISIBLE in held else []
+        parts += [which(concealed(), "hidden", 1)] if set(held) - {VISIBLE} else []
+        return F.concat(no_findings(), *parts)
+
+    return build
 
 
 class Registry:
@@ -246,6 +257,7 @@ class Screen:
     def __init__(self, config: ScreenConfig | None = None, registry: Registry | None = None):
         self.config = config or ScreenConfig.from_env()
         self.registry = (registry or default_registry()).configured(self.config)
+        self.screener: Callable[[], Callable[[str], str]] | None = None
 
     # -- extension ------------------------------------------------------------
 
@@ -274,6 +286,10 @@ class Screen:
         if (found := self.registry.get(name)) is not None:
             self.registry.register(replace(found, enabled=False))
 
+    def use_screener(self, load: Callable[[], Callable[[str], str]]) -> None:
+        """What the differential screening asks; ``load()`` gives it once per worker."""
+        self.screener = load
+
     # -- screening ------------------------------------------------------------
 
     def scan_texts(self, docs: DataFrame, text: str = "text") -> DataFrame:
@@ -289,7 +305,13 @@ class Screen:
             no_findings().alias("given"),
             F.lit(None).cast("string").alias("error"),
         )
-        return self.screened(rows)
+        return self._compared(self.screened(rows, (VISIBLE,)), F.col(VISIBLE))
+
+    def _compared(self, results: DataFrame, raw_text: Column) -> DataFrame:
+        """With the differential screening, if it is enabled; it comes after all else."""
+        if not self.config.enable_differential:
+            return results
+        return applied(screened_twice(results, raw_text, self.screener, self.config.material_delta), self.config.malicious_score)
 
     def assembled(self, r: Relations) -> DataFrame:
         """One row per document with its streams and the findings of the relations.
@@ -326,13 +348,21 @@ class Screen:
             entry = F.struct("extractor", F.substring(collapse(F.coalesce("text", F.lit(""))), 1, EXTRACTOR_CHARS))
             texts = relations.extractions.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(entry)).alias("extractor_texts"))
             rows = rows.join(texts, "doc_id", "left")
-        return rows
+            if self.config.enable_differential:
+                rows = rows.join(longest_text(relations.extractions), "doc_id", "left")
+                return self._compared(rows, F.col("raw_text")).drop("raw_text")
+        return self._compared(rows, F.col(VISIBLE))
 
-    def screened(self, rows: DataFrame) -> DataFrame:
-        """Findings, verdict and safe text of document rows (``doc_id``, texts, ``given``, ``error``)."""
+    def screened(self, rows: DataFrame, held: Sequence[str] = TEXTS) -> DataFrame:
+        """Findings, verdict and safe text of document rows (``doc_id``, texts, ``given``, ``error``).
+
+        ``held`` names the texts that are not empty throughout.
+        """
         ship_package(rows.sparkSession)
+        if self.config.normalize_before_match:
+            rows = rows.withColumns({NORMAL[c]: normalize_for_screening(F.col(c)) for c in held})
         raw = [F.col("given")] + [
-            d.build(slot, self.config) for slot, d in enumerate(self.registry.detectors()) if d.enabled and d.build is not None
+            d.build(slot, self.config, held) for slot, d in enumerate(self.registry.detectors()) if d.enabled and d.build is not None
         ]
         found = rows.withColumn("raw", F.concat(*raw))
         found = found.withColumn("ordered", in_order(F.col("raw")))
@@ -356,7 +386,9 @@ class Screen:
 
 def findings_table(results: DataFrame) -> DataFrame:
     """One row per finding, ``pos`` its place in the document's list."""
-    rows = results.select("doc_id", F.posexplode("findings").alias("pos", "f"))
+    # Of a plain explode the optimizer infers a filter on the list, pushes it down to the texts and
+    # has every detector run once more for it.
+    rows = results.select("doc_id", F.posexplode_outer("findings").alias("pos", "f")).where("pos is not null")
     return rows.select("doc_id", "pos", "f.*")
 
 

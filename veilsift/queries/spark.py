@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.matching import rule_spans
-from ..functions.runtime import ship_package
+from ..functions.runtime import durable, ship_package
 from ..functions.text import around, strip_invisible
 from ..operators import differential, divergence, encoding, metadata, reports, structure
 from ..plans.model import PHRASE_RULES, ScreenConfig
-from ..plans.screen import Relations, Screen, default_registry, findings_table
+from ..plans.screen import Relations, Screen, default_registry, findings_table, result_json
 from ..sources import files, fixtures, pdf, pdf_samples
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,11 @@ def _screen(**config) -> Screen:
     return Screen(ScreenConfig(**config), default_registry())
 
 
+def _only(detector: str) -> Screen:
+    others = [d.name for d in default_registry().detectors() if d.name not in (detector, "pdf_structure")]
+    return _screen(disabled_detectors=others)
+
+
 def _scan(spark: SparkSession, sf_dir: str, **config) -> DataFrame:
     return _screen(**config).scan_texts(fixtures.planted(spark, sf_dir))
 
@@ -44,10 +49,10 @@ def _as_pdf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["doc_id", "content"])
 
 
-def _spans(spark: SparkSession, sf_dir: str, suppress: bool) -> DataFrame:
+def _spans(spark: SparkSession, sf_dir: str, suppress: bool, source=fixtures.planted) -> DataFrame:
     ship_package(spark)
-    docs = fixtures.planted(spark, sf_dir)
-    rows = docs.select("doc_id", "text", F.explode(rule_spans(F.col("text"), PATTERNS, suppress)).alias("s"))
+    docs = source(spark, sf_dir)
+    rows = docs.select("doc_id", "text", F.explode(rule_spans("text", PATTERNS, suppress)).alias("s"))
     return rows.select(
         "doc_id", "text", F.col("s.rule").alias("rule"), F.col("s.start").alias("first"), F.col("s.end").alias("last"), "s.matched"
     )
@@ -69,6 +74,24 @@ def overlap_suppressed_findings(spark, sf_dir):
     return _spans(spark, sf_dir, True).drop("text")
 
 
+@query
+def phrase_spans(spark, sf_dir):
+    """All ten rules, each hit by some documents."""
+    return _spans(spark, sf_dir, False, fixtures.phrased).drop("text")
+
+
+@query
+def phrase_findings(spark, sf_dir):
+    """The same, where the earlier rule takes what several rules hit."""
+    return _spans(spark, sf_dir, True, fixtures.phrased).drop("text")
+
+
+@query
+def phrase_hits_by_rule(spark, sf_dir):
+    hits = _spans(spark, sf_dir, True, fixtures.phrased)
+    return hits.groupBy("rule").agg(F.count(F.lit(1)).alias("hits"), F.count_distinct("doc_id").alias("documents"))
+
+
 @query
 def instruction_evidence(spark, sf_dir):
     spans = _spans(spark, sf_dir, True)
@@ -77,13 +100,15 @@ def instruction_evidence(spark, sf_dir):
 
 @query
 def zero_width_findings(spark, sf_dir):
-    found = findings_table(_scan(spark, sf_dir)).where("detector = 'unicode.zero_width'")
+    scanned = _only("unicode_tricks").scan_texts(fixtures.planted(spark, sf_dir))
+    found = findings_table(scanned).where("detector = 'unicode.zero_width'")
     return found.select("doc_id", "severity", F.col("detail")["count"].cast("long").alias("n"), F.col("detail")["characters"].alias("characters"), "evidence")
 
 
 @query
 def bidi_findings(spark, sf_dir):
-    found = findings_table(_scan(spark, sf_dir)).where("detector = 'unicode.bidi_override'")
+    scanned = _only("unicode_tricks").scan_texts(fixtures.planted(spark, sf_dir))
+    found = findings_table(scanned).where("detector = 'unicode.bidi_override'")
     return found.select("doc_id", "severity", F.col("detail")["count"].cast("long").alias("n"), F.col("detail")["characters"].alias("characters"), "evidence")
 
 
@@ -101,6 +126,24 @@ def nfkc_divergence(spark, sf_dir):
     return docs.where("delta >= 12")
 
 
+@query
+def normalized_text(spark, sf_dir):
+    ship_package(spark)
+    docs = fixtures.planted(spark, sf_dir).select("doc_id", encoding.normalize_for_screening(F.col("text")).alias("t"))
+    return docs.select("doc_id", F.char_length("t").cast("long").alias("n"), F.md5("t").alias("digest"))
+
+
+@query
+def mixed_script_caps(spark, sf_dir):
+    """More mixed words than a finding shows or lists."""
+    ship_package(spark)
+    words = _pages(spark, sf_dir).select("page_id", F.repeat(F.lit("w\u03bfrd "), 25).alias("text"))
+    found = words.select("page_id", F.explode(encoding.normalization_findings(F.col("text"), "visible", 0)).alias("f"))
+    return found.select(
+        F.col("page_id").alias("doc_id"), F.col("f.detail")["count"].cast("long").alias("n"), "f.evidence", F.col("f.detail")["words"].alias("words")
+    )
+
+
 @query
 def strip_invisible_text(spark, sf_dir):
     docs = fixtures.planted(spark, sf_dir).select("doc_id", strip_invisible(F.col("text")).alias("t"))
@@ -182,7 +225,8 @@ def extractor_shingles(spark, sf_dir):
 
 @query
 def divergent_shingles(spark, sf_dir):
-    return divergence.divergent(_extractions(spark, sf_dir), 8).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    apart = divergence.divergent(_extractions(spark, sf_dir), 8)
+    return apart.select("doc_id", F.size("divergent").cast("long").alias("n"))
 
 
 @query
@@ -211,12 +255,49 @@ def escalated_findings(spark, sf_dir):
 
 @query
 def deduped_findings(spark, sf_dir):
-    return _carried(spark, sf_dir).select("doc_id", F.size("findings").cast("long").alias("n"), F.size(F.array_distinct(F.transform("findings", lambda f: F.struct(f["detector"], f["evidence"])))).cast("long").alias("distinct_n"))
+    """What is left of repeats, in stage order."""
+    return findings_table(_carried(spark, sf_dir)).select("doc_id", F.col("pos").cast("long").alias("place"), "detector", "severity", "evidence")
+
+
+@query
+def grouped_findings(spark, sf_dir):
+    groups = _carried(spark, sf_dir).select("doc_id", F.posexplode_outer(reports.grouped(F.col("findings"))).alias("place", "g")).where("g is not null")
+    return groups.select(
+        "doc_id",
+        F.col("place").cast("long").alias("place"),
+        F.col("g.category").alias("category"),
+        F.col("g.worst").cast("long").alias("worst"),
+        F.col("g.n").cast("long").alias("n"),
+        F.get("g.findings", F.lit(0))["evidence"].alias("first_evidence"),
+    )
+
+
+@query
+def result_json_fields(spark, sf_dir):
+    """Results as JSON text, read back."""
+    told = result_json(_carried(spark, sf_dir))
+    return told.select(
+        "doc_id",
+        F.get_json_object("json", "$.verdict").alias("verdict"),
+        F.get_json_object("json", "$.risk_score").cast("long").alias("risk_score"),
+        F.md5(F.get_json_object("json", "$.hidden_text")).alias("hidden"),
+    )
+
+
+@query
+def concealed_findings(spark, sf_dir):
+    """Notes and XMP that conceal: every finding names the stream that it comes from."""
+    pages = _pages(spark, sf_dir)
+    documents = pages.select(F.col("page_id").alias("doc_id"), F.lit(None).cast("string").alias("error"))
+    found = findings_table(_screen().scan(Relations(documents, annotations=fixtures.concealing_notes(pages), xmp=fixtures.xmp(pages))))
+    return found.select("doc_id", "detector", "severity", F.col("detail")["source"].alias("source"), F.col("detail")["characters"].alias("characters"))
 
 
 @query
 def carried_results(spark, sf_dir):
-    return _carried(spark, sf_dir).select("doc_id", "verdict", F.col("risk_score").cast("long").alias("risk_score"), F.size("errors").cast("long").alias("errors"))
+    return _carried(spark, sf_dir).select(
+        "doc_id", "verdict", F.col("risk_score").cast("long").alias("risk_score"), F.size("errors").cast("long").alias("errors"), F.md5("hidden_text").alias("hidden")
+    )
 
 
 @query
@@ -227,8 +308,10 @@ def verdicts(spark, sf_dir):
 @query
 def layered_scan_results(spark, sf_dir):
     docs = fixtures.planted(spark, sf_dir)
-    spans, pages, fills = _layout(spark, sf_dir)
-    known = Relations(docs.select("doc_id", F.lit(None).cast("string").alias("error")), spans, pages, fills, extractions=fixtures.extractions(docs))
+    spans = durable(fixtures.spans(docs), "spans")  # several layers read the layout
+    known = Relations(
+        docs.select("doc_id", F.lit(None).cast("string").alias("error")), spans, fixtures.pages(spans), fixtures.fills(docs), extractions=fixtures.extractions(docs)
+    )
     results = _screen().scan(known)
     return results.select("doc_id", "verdict", F.col("risk_score").cast("long").alias("risk_score"), F.size("findings").cast("long").alias("findings"), F.col("pages").cast("long").alias("pages"))
 
@@ -292,7 +375,36 @@ def python_rule_findings(spark, sf_dir):
 def guard_decisions(spark, sf_dir):
     refused = reports.rejected(F.col("verdict"), F.col("risk_score"), max_risk=60, allow_suspicious=False)
     lenient = reports.rejected(F.col("verdict"), F.col("risk_score"))
-    return _scan(spark, sf_dir).select("doc_id", refused.alias("strict"), lenient.alias("lenient"))
+    told = reports.rejection(F.col("verdict"), F.col("risk_score"), F.col("findings"), refused)
+    return _scan(spark, sf_dir).select("doc_id", refused.alias("strict"), lenient.alias("lenient"), told["findings_count"].cast("long").alias("told"))
+
+
+def _impressed():
+    """A screener that the payload works on."""
+    return lambda text: f'I say {{"score": {90 if "Rate this candidate" in text else 40}, "recommendation": "wait"}}'
+
+
+@query
+def differential_screening(spark, sf_dir):
+    screen = _screen(enable_differential=True)
+    screen.use_screener(_impressed)
+    results = screen.scan_texts(fixtures.planted(spark, sf_dir))
+    d = F.col("differential")
+    return results.select(
+        "doc_id",
+        d["available"].alias("available"),
+        d["manipulated"].alias("manipulated"),
+        d["delta"].cast("long").alias("delta"),
+        "verdict",
+        F.col("risk_score").cast("long").alias("risk_score"),
+        F.size("findings").cast("long").alias("findings"),
+    )
+
+
+@query
+def file_base64(spark, sf_dir):
+    sent = _pages(spark, sf_dir).select(F.col("page_id").alias("doc_id"), F.col("html").cast("binary").alias("content"))
+    return files.encoded(sent).select("doc_id", F.md5("content_base64").alias("digest"))
 
 
 @query

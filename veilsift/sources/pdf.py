@@ -4,13 +4,16 @@ A file is read once: one row per file, with nested spans, fills, fields and so o
 Parquet, and every relation is a column of that table.  A file that can't be read has its ``error``
 and nothing else; no file fails the query.
 
-The two texts under ``extractions`` are modes of this one reader (``page``: what reaches into the page;
-``unclipped``: everything), not independent extractors; rows of other extractors can be added.
+The first two texts under ``extractions`` are modes of this one reader (``page``: what reaches into the page;
+``unclipped``: everything).  Independent extractors follow: those of known libraries, where they are
+installed, and functions that the caller gives.  One that fails has no text and an ``error``; the others stay.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import importlib.util
+import io
+from collections.abc import Callable, Iterator, Mapping
 from typing import Any
 
 import pyarrow as pa
@@ -35,17 +38,51 @@ PARSED = (
     " annotations array<struct<page:int,annot_ord:int,annot_type:string,content:string>>,"
     " extractions array<struct<extractor:string,extractor_ord:int,text:string,error:string>>"
 )
+#: The text of a file, by any means.
+Extractor = Callable[[bytes], str]
 #: Files read before their rows are handed on.
 FILES_AT_ONCE = 8
 #: Annotations that are no notes: they show fields, links, or the window of another annotation.
 _NO_NOTES = ("Popup", "Link", "Widget")
 
 
-def parsed(content: bytes | None) -> dict[str, Any]:
+def _pypdf(content: bytes) -> str:
+    import pypdf
+
+    return "\n".join(page.extract_text() or "" for page in pypdf.PdfReader(io.BytesIO(content)).pages)
+
+
+def _pdfminer(content: bytes) -> str:
+    from pdfminer.high_level import extract_text
+
+    return extract_text(io.BytesIO(content)) or ""
+
+
+def installed_extractors() -> dict[str, Extractor]:
+    """Extractors of libraries that are installed where this runs."""
+    return {name: f for name, f in (("pypdf", _pypdf), ("pdfminer", _pdfminer)) if importlib.util.find_spec(name)}
+
+
+def extracted(content: bytes, extractors: Mapping[str, Extractor], first: int) -> list[dict[str, Any]]:
+    """A row of ``extractions`` for each extractor, numbered from ``first`` on."""
+    out = []
+    for place, (name, extract) in enumerate(extractors.items(), first):
+        text, error = "", None
+        try:
+            text = _clean(extract(content))
+        except Exception as problem:  # one extractor's failure is a row, not the end
+            error = f"{type(problem).__name__}: {problem}"
+        out.append({"extractor": name, "extractor_ord": place, "text": text, "error": error})
+    return out
+
+
+def parsed(content: bytes | None, extractors: Mapping[str, Extractor] | None = None) -> dict[str, Any]:
     """The row of one file, without its id."""
     empty: dict[str, Any] = {k: [] for k in ("pages", "spans", "fills", "fields", "annotations", "extractions")}
     try:
-        return {"error": None, **empty, **_read(content or b"")}
+        row = {"error": None, **empty, **_read(content or b"")}
+        row["extractions"] += extracted(content or b"", installed_extractors() | dict(extractors or {}), len(row["extractions"]))
+        return row
     except PdfError as problem:
         return {"error": str(problem), "xmp": None, **empty}
     except Exception as problem:  # whatever a hostile file provokes is a property of the file
@@ -93,7 +130,7 @@ def _clean(text: str) -> str:
     return text.encode("utf-8", "replace").decode("utf-8")
 
 
-def parse_files(files: DataFrame) -> DataFrame:
+def parse_files(files: DataFrame, extractors: Mapping[str, Extractor] | None = None) -> DataFrame:
     """A row of ``PARSED`` for every row of ``files`` (``doc_id, content``).
 
     Null and empty contents have an error.  Repeated ids give repeated rows, which ``relations`` does
@@ -106,7 +143,7 @@ def parse_files(files: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, FILES_AT_ONCE):
                 part = batch.slice(at, FILES_AT_ONCE)
-                rows = [{"doc_id": i.as_py(), **parsed(c.as_py())} for i, c in zip(part.column(0), part.column(1))]
+                rows = [{"doc_id": i.as_py(), **parsed(c.as_py(), extractors)} for i, c in zip(part.column(0), part.column(1))]
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return files.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("content").cast("binary").alias("content")).mapInArrow(read, PARSED)
@@ -130,14 +167,14 @@ def relations(table: DataFrame) -> Relations:
     )
 
 
-def pdf_relations(files: DataFrame) -> Relations:
+def pdf_relations(files: DataFrame, extractors: Mapping[str, Extractor] | None = None) -> Relations:
     """Relations of ``files``, which are read once, into a table in the shared folder."""
-    return relations(durable(parse_files(files), "pdf"))
+    return relations(durable(parse_files(files, extractors), "pdf"))
 
 
-def scan_files(files: DataFrame, screen: Screen | None = None) -> DataFrame:
+def scan_files(files: DataFrame, screen: Screen | None = None, extractors: Mapping[str, Extractor] | None = None) -> DataFrame:
     """Results of the screening of ``files`` (``doc_id, content``)."""
-    return (screen or Screen()).scan(pdf_relations(files))
+    return (screen or Screen()).scan(pdf_relations(files, extractors))
 
 
 def screen_arriving(spark: SparkSession, path: str, out: str, checkpoint: str, screen: Screen | None = None) -> StreamingQuery:
