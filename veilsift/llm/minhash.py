@@ -36,6 +36,8 @@ MAX_HASHES = 96
 #: Rows of a block; a task compares two blocks of a large group, by signatures or by full sets.
 SIGNATURE_BLOCK = 1024
 BLOCK = 256
+#: Tasks over which the members of one group and component are joined.
+SALTS = 16
 CACHED_WORDS = 400_000
 _U = np.uint64
 
@@ -221,7 +223,10 @@ def _in_block_pairs(members: DataFrame, keys: list[str], member: str, size: int,
     same = [F.col(f"p.{k}") == F.col(f"o.{k}") for k in keys] + [F.col("p._own").eqNullSafe(F.col("o._own"))]
     placed = parts.alias("p").join(owners.alias("o"), same)
     placed = placed.select(*(f"p.{k}" for k in keys), "p.component", "_blocks", "_start", "_all", "_skip")
-    rows = members.join(placed, [*keys, "component"])
+    # Members of one group and component meet their row in several tasks.
+    salted = placed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).repartition(*keys, "component", "_salt")
+    members = members.withColumn("_salt", F.pmod(F.xxhash64(member), F.lit(SALTS)).cast("int"))
+    rows = members.join(salted, [*keys, "component", "_salt"]).drop("_salt")
     rows = rows if load is None else load.join(rows, member)
     others = F.transform(
         F.sequence(F.lit(0), F.col("_all") - F.col("_skip") - 1),
@@ -397,15 +402,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     keys = chunk_keys(classes, plan)
     heads = (
         keys.groupBy("key")
-        .agg(F.min(F.struct("id", "n")).alias("head"), F.max("id").alias("last"))
-        .where("head.id < last")
-        .select("key", "head")
+        # Of longs alone, so that it is a hash aggregation.
+        .agg(F.min("id").alias("head"), F.min_by("n", "id").alias("head_n"), F.max("id").alias("last"))
+        .where("head < last")
+        .drop("last")
     )
     # Whoever shares a bucket shares its head, so a member need stand under each head once only.
-    members = keys.join(heads, "key").select(
-        F.col("head.id").alias("head"), F.col("head.n").alias("head_n"), "id", "n"
-    )
-    members = durable(members.distinct(), "members")
+    members = durable(keys.join(heads, "key").select("head", "head_n", "id", "n").distinct(), "members")
     fits = f"{den} * least(n, head_n) >= {num} * greatest(n, head_n)"
     first = members.where(f"id <> head and {fits}").select(F.col("head").alias("a"), F.col("id").alias("b"))
     near = durable(_near(first, classes, plan), "near")
