@@ -27,6 +27,9 @@ LAYERS = (1 / 4, 1 / 16, 1 / 64, 1 / 256)
 #: Hexadecimal digits of ``h`` by which documents of one source and size are dealt to tasks.
 SPREAD_DIGITS = 2
 
+#: Rows of sources, each of a name and a few numbers, that are sent to all tasks; more are joined by shuffles.
+MOST_BROADCAST = 50_000
+
 BY_SOURCE = ["has_source", "name"]
 
 
@@ -82,6 +85,16 @@ def _crossed(rank: Column, copies: Column, shift: Column) -> Column:
     return F.floor((rank + 1) * copies + shift) - F.floor(rank * copies + shift)
 
 
+def _with_source(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """``rows`` with the columns of their source; the rows of one source never meet in one task for it."""
+    if sources.count() <= MOST_BROADCAST:
+        return rows.join(F.broadcast(sources), BY_SOURCE)
+    digit = F.substring("h", 1, 1)
+    sixteen = F.array(*(F.lit(f"{i:x}") for i in range(16)))
+    salted = sources.withColumn("_digit", F.explode(sixteen)).repartition(*BY_SOURCE, "_digit")
+    return rows.withColumn("_digit", digit).join(salted, [*BY_SOURCE, "_digit"]).drop("_digit")
+
+
 def _layer(size: Column, target: Column) -> Column:
     layer = F.lit(len(LAYERS))
     for k in reversed(range(len(LAYERS))):
@@ -106,7 +119,7 @@ def _expected(held: DataFrame, sources: DataFrame, most: int) -> DataFrame:
     for k in range(len(LAYERS) + 1):
         known = known.withColumn("copies", F.concat("copies", F.array(copies)))
         if k == len(LAYERS):
-            return known.drop("_left", "_taken")
+            return durable(known.drop("_left", "_taken"), "layers")
         known = durable(known, "layers")
         drawn = large.where(F.col("layer") == k).join(known, BY_SOURCE)
         words = _crossed(F.col("rank"), F.col("copies")[k], F.col("shift")) * F.col("size")
@@ -121,9 +134,9 @@ def _drawn(rows: DataFrame, table: DataFrame, sources: DataFrame, most: int, ord
     ``table``: the sizes of the same rows, from which all totals are taken.
     """
     layer = _layer(F.col("size"), F.col("target"))
-    held = table.join(sources, BY_SOURCE).withColumn("layer", layer)
+    held = _with_source(table, sources).withColumn("layer", layer)
     known = _expected(held, sources, most)
-    placed = _ranked(rows.join(known, BY_SOURCE).withColumn("layer", layer), held, order)
+    placed = _ranked(_with_source(rows, known).withColumn("layer", layer), held, order)
     copies = F.element_at("copies", F.col("layer") + 1)
     return placed.withColumn("copies_taken", _crossed(F.col("rank"), copies, F.col("shift")))
 
