@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
+_SCRATCH: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -66,13 +69,31 @@ def shared_dir(spark: SparkSession) -> str:
     return os.path.join(tempfile.gettempdir(), "veilsift-checkpoints")
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is under it goes when this process ends."""
+    sc = spark.sparkContext
+    root = f"{shared_dir(spark)}/veilsift/{sc.applicationId}"
+    if root not in _SCRATCH:
+        _SCRATCH.add(root)
+        atexit.register(_drop, sc._jvm, sc._jsc.hadoopConfiguration(), root)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def _drop(jvm, configuration, root: str) -> None:
+    try:
+        path = jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(configuration).delete(path, True)
+    except (Py4JError, OSError):  # the JVM is gone: whoever keeps the shared folder clears it
+        pass
+
+
 def durable(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Cuts lineage and survives the loss of executors: what is read later is a
-    table in shared storage, not blocks on one machine.
+    table in shared storage, not blocks on one machine.  It lasts as long as this process.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/veilsift/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -20,7 +20,7 @@ FIELDS = ("title", "subject", "keywords", "author", "creator", "producer")
 
 def field_findings(fields: DataFrame) -> DataFrame:
     """Long fields: ``doc_id, part, pos, text, f``."""
-    place = F.array_position(F.array(*map(F.lit, FIELDS)), F.col("field")).cast("int")
+    place = F.array_position(F.array(*map(F.lit, FIELDS)), F.col("field")).cast("long")
     long = fields.where(F.col("field").isin(*FIELDS)).withColumn("text", strip(F.coalesce("value", F.lit(""))))
     long = long.where(F.char_length("text") >= LONG).withColumn("pos", place)
     f = finding(
@@ -38,14 +38,14 @@ def field_findings(fields: DataFrame) -> DataFrame:
 def xmp_texts(xmp: DataFrame) -> DataFrame:
     """Long XMP counts as text, raw and without a finding."""
     return xmp.where(F.char_length("xml") >= LONG).select(
-        "doc_id", F.lit(1).alias("part"), F.lit(0).alias("pos"), F.col("xml").alias("text"), F.lit(None).alias("f")
+        "doc_id", F.lit(1).alias("part"), F.lit(0).cast("long").alias("pos"), F.col("xml").alias("text"), F.lit(None).alias("f")
     )
 
 
 def annotation_findings(annotations: DataFrame) -> DataFrame:
     """Every annotation with content is text; a long one is a finding too."""
     held = annotations.withColumn("text", strip(F.coalesce("content", F.lit("")))).where("text <> ''")
-    place = F.col("page") * 1_000_000 + F.col("annot_ord")
+    place = F.col("page").cast("long") * 1_000_000 + F.col("annot_ord")
     f = finding(
         "pdf_metadata.annotation",
         "metadata",

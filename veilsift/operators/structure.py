@@ -35,16 +35,22 @@ def packed_luminance(color: Column) -> Column:
 def with_background(spans: DataFrame, fills: DataFrame) -> DataFrame:
     """``spans`` with the luminance behind each: the last painted fill that holds it, else white.
 
-    The fills of a page travel as one array, so that a span never multiplies.
+    The spans and the fills of a page meet as two arrays in one row, so that neither is copied.
     """
     painted = F.struct("paint_ord", "x0", "y0", "x1", "y1", luminance(F.col("r"), F.col("g"), F.col("b")).alias("lum"))
     by_page = fills.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(painted)).alias("_fills"))
-    holds = F.filter(
-        "_fills",
-        lambda f: (F.col("x0") >= f["x0"] - 1) & (F.col("y0") >= f["y0"] - 1) & (F.col("x1") <= f["x1"] + 1) & (F.col("y1") <= f["y1"] + 1),
-    )
-    joined = spans.join(by_page, ["doc_id", "page"], "left")
-    return joined.withColumn("background", F.coalesce(F.try_element_at(holds, F.lit(-1))["lum"], F.lit(1.0))).drop("_fills")
+    own = [c for c in spans.columns if c not in ("doc_id", "page")]
+    pages = spans.groupBy("doc_id", "page").agg(F.collect_list(F.struct(*own)).alias("_spans")).join(by_page, ["doc_id", "page"], "left")
+
+    def behind(s: Column) -> Column:
+        holds = F.filter(
+            "_fills",
+            lambda f: (s["x0"] >= f["x0"] - 1) & (s["y0"] >= f["y0"] - 1) & (s["x1"] <= f["x1"] + 1) & (s["y1"] <= f["y1"] + 1),
+        )
+        return F.coalesce(F.try_element_at(holds, F.lit(-1))["lum"], F.lit(1.0))
+
+    lit = F.transform("_spans", lambda s: F.struct(*(s[c].alias(c) for c in own), behind(s).alias("background")))
+    return pages.select("doc_id", "page", F.explode_outer(lit).alias("_s")).select("doc_id", "page", "_s.*")
 
 
 def classified(spans: DataFrame, pages: DataFrame, fills: DataFrame, config: ScreenConfig) -> DataFrame:
