@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.runtime import durable, shared_dir, ship_package, spread
+from ..functions.runtime import durable, scratch_path, ship_package, spread
 
 #: Word separators of every contract here: space and the five ASCII controls 9..13.
 #: Java and DuckDB (RE2) read this text alike.

@@ -12,13 +12,12 @@ shard; only shards that give or take rows are rewritten.
 from __future__ import annotations
 
 import heapq
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, shared_dir, with_rank
+from .common import durable, scratch_path, with_rank
 
 OLD_SHARDS = 16
 NEW_SHARDS = 24
@@ -244,7 +243,7 @@ def resharded_files(docs: DataFrame, **options) -> DataFrame:
     stayed = plan.placed().where(~F.col("shard").isin(changed))
     if not changed:
         return _described(stayed)
-    read = rewrite(docs, plan, f"{shared_dir(docs.sparkSession)}/veilsift/shards-{uuid.uuid4().hex}")
+    read = rewrite(docs, plan, scratch_path(docs.sparkSession, "shards"))
     text = F.coalesce("row.text", F.lit(""))
     found = _described(
         read.select(
