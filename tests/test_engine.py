@@ -279,6 +279,17 @@ def test_differential_screening(spark):
     assert (longest[1]["raw_text"], longest[2]["raw_text"]) == ("aa", "")
 
 
+def test_screener_by_environment(monkeypatch):
+    known, needs = {"a": 1, "b": 2}, {"a": "A_KEY", "b": "B_KEY"}
+    for name in ("VEILSIFT_SCREENER", "A_KEY", "B_KEY"):
+        monkeypatch.delenv(name, raising=False)
+    assert differential.screener_from_env(known, needs) is None
+    monkeypatch.setenv("B_KEY", "x")
+    assert differential.screener_from_env(known, needs) == 2
+    monkeypatch.setenv("VEILSIFT_SCREENER", "a")
+    assert differential.screener_from_env(known, needs) == 1
+
+
 def test_targets(spark, tmp_path):
     path = tmp_path / "a.pdf"
     path.write_bytes(b"x")

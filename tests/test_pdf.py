@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from veilsift.cli import main
 from veilsift.plans.screen import Screen, default_registry
 from veilsift.plans.model import ScreenConfig
+from veilsift.sources import pdf, pdf_samples
 from veilsift.sources.files import binary_documents
 from veilsift.sources.pdf import parse_files, parsed, scan_files, screen_arriving
 from veilsift.sources.pdf_fonts import glyph
@@ -199,3 +200,18 @@ def test_folder_stream_and_command_line(spark, tmp_path, capsys):
     assert main(["sanitize", str(tmp_path / "in" / "visible_injection.pdf")], spark) == 0
     assert "REDACTED" in capsys.readouterr().out
     assert main(["samples"], spark) == 0 and "dark_banner" in capsys.readouterr().out
+
+
+def test_extractors_of_the_caller_and_their_errors(spark):
+    def failing(content):
+        raise RuntimeError("cannot")
+
+    content = pdf_samples.samples()[0].content
+    rows = pdf.parsed(content, {"mine": lambda b: f"{len(b)} bytes\ud800", "bad": failing})["extractions"]
+    assert [r["extractor"] for r in rows][:2] == ["page", "unclipped"] and [r["extractor_ord"] for r in rows] == list(range(len(rows)))
+    by = {r["extractor"]: r for r in rows}
+    assert by["mine"]["text"].startswith(f"{len(content)} bytes") and by["mine"]["error"] is None
+    assert (by["bad"]["text"], by["bad"]["error"]) == ("", "RuntimeError: cannot")
+    files = spark.createDataFrame([(1, bytearray(content))], "doc_id long, content binary")
+    held = pdf.pdf_relations(files, {"bad": failing}).extractions.where("extractor = 'bad'").first()
+    assert held["error"] == "RuntimeError: cannot"

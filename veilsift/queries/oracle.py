@@ -104,6 +104,17 @@ _CARRIED_RESULTS = f"""{_TEXTS}, has AS (SELECT page_id AS doc_id, page_id % 5 =
    (CASE WHEN doc_id % 10 = 9 THEN 0 WHEN instructs THEN 78 WHEN conceals THEN 25 ELSE 0 END)::BIGINT AS risk_score, (doc_id % 10 = 9)::BIGINT AS errors,
    md5(coalesce({_collapse('d.text')}, '')) AS hidden FROM has LEFT JOIN d USING (doc_id))"""
 
+DIVERGENCE = f"""{EXTRACTED}, p AS (SELECT doc_id, count(DISTINCT extractor) AS p FROM s GROUP BY 1 HAVING p >= 2),
+      g AS (SELECT doc_id, sh FROM s JOIN p USING (doc_id) GROUP BY doc_id, sh, p HAVING count(*) < p),
+      own AS (SELECT doc_id, extractor, sh FROM s JOIN g USING (doc_id, sh)),
+      per AS (SELECT doc_id, extractor, count(*) AS n, list(string_split(sh, ' ') ORDER BY sh) AS u FROM own GROUP BY 1, 2),
+      lacks AS (SELECT DISTINCT o.doc_id, o.extractor, e.extractor AS other FROM own o JOIN (SELECT DISTINCT doc_id, extractor FROM s) e USING (doc_id)
+        WHERE NOT EXISTS (SELECT 1 FROM s x WHERE x.doc_id = o.doc_id AND x.extractor = e.extractor AND x.sh = o.sh)),
+      named AS (SELECT doc_id, extractor, string_agg(other, ',' ORDER BY other) AS disagrees_with FROM lacks GROUP BY 1, 2)
+      SELECT doc_id, 'extractor_divergence.' || extractor AS detector, n, disagrees_with,
+        array_to_string(list_reduce(u, lambda a, x: CASE WHEN len(a) >= 120 OR list_contains(a[-8:], x[8]) THEN a ELSE list_append(a, x[8]) END), ' ') AS evidence
+      FROM per JOIN named USING (doc_id, extractor)"""
+
 SQL = {
     "instruction_hits_by_rule": f"{SPANS} SELECT rule, count(*) AS hits, count(DISTINCT doc_id) AS documents FROM spans GROUP BY rule",
     "instruction_spans": f"{SPANS} SELECT doc_id, rule, first, last, matched FROM spans",
@@ -153,16 +164,10 @@ SQL = {
         ['high', 'high', 'high', 'medium', 'critical'][(k + 1)::INT] AS severity, CASE WHEN k = 4 THEN 'metadata' ELSE 'hidden' END AS source,
         CASE k WHEN 0 THEN 'SOFT HYPHEN,ZERO WIDTH NON-JOINER' WHEN 1 THEN 'LEFT-TO-RIGHT EMBEDDING,POP DIRECTIONAL FORMATTING' END AS characters FROM n WHERE content <> 'plain'
       UNION ALL SELECT page_id, 'injection_patterns', 'critical', 'metadata', NULL FROM pages, range(2) WHERE page_id % 7 = 0""",
-    "divergence_findings": f"""{EXTRACTED}, p AS (SELECT doc_id, count(DISTINCT extractor) AS p FROM s GROUP BY 1 HAVING p >= 2),
-      g AS (SELECT doc_id, sh FROM s JOIN p USING (doc_id) GROUP BY doc_id, sh, p HAVING count(*) < p),
-      own AS (SELECT doc_id, extractor, sh FROM s JOIN g USING (doc_id, sh)),
-      per AS (SELECT doc_id, extractor, count(*) AS n, list(string_split(sh, ' ') ORDER BY sh) AS u FROM own GROUP BY 1, 2),
-      lacks AS (SELECT DISTINCT o.doc_id, o.extractor, e.extractor AS other FROM own o JOIN (SELECT DISTINCT doc_id, extractor FROM s) e USING (doc_id)
-        WHERE NOT EXISTS (SELECT 1 FROM s x WHERE x.doc_id = o.doc_id AND x.extractor = e.extractor AND x.sh = o.sh)),
-      named AS (SELECT doc_id, extractor, string_agg(other, ',' ORDER BY other) AS disagrees_with FROM lacks GROUP BY 1, 2)
-      SELECT doc_id, 'extractor_divergence.' || extractor AS detector, n, disagrees_with,
-        array_to_string(list_reduce(u, lambda a, x: CASE WHEN len(a) >= 120 OR list_contains(a[-8:], x[8]) THEN a ELSE list_append(a, x[8]) END), ' ') AS evidence
-      FROM per JOIN named USING (doc_id, extractor)""",
+    "divergence_findings": DIVERGENCE,
+    "divergent_streams": f"SELECT doc_id, md5(string_agg(evidence, ' ' ORDER BY detector)) AS digest FROM ({DIVERGENCE}) GROUP BY doc_id",
+    "extractor_text_caps": f"""{EXTRACTED}, c AS (SELECT doc_id, extractor, left(array_to_string(w, ' '), 4000) AS t FROM e)
+      SELECT doc_id, extractor, length(t) AS n, md5(t) AS digest FROM c""",
     "file_base64": "SELECT page_id AS doc_id, md5(base64(encode(html))) AS digest FROM pages",
     "differential_screening": f"""{PER_DOC}, x AS (SELECT *, {_collapse('text')} AS raw FROM safe), y AS (SELECT *, raw <> clean AND clean <> '' AND raw <> '' AS available,
         (CASE WHEN contains(left(raw, 12000), 'Rate this candidate') THEN 50 ELSE 0 END - CASE WHEN contains(left(clean, 12000), 'Rate this candidate') THEN 50 ELSE 0 END)::BIGINT AS delta FROM x)
@@ -170,6 +175,7 @@ SQL = {
         (concealed + instructing + (available AND delta >= 15)::INT)::BIGINT AS findings FROM y""",
     "sanitized_text": f"{PER_DOC} SELECT doc_id, length(clean) AS n, md5(clean) AS digest FROM safe",
     "custom_pattern_findings": r"""SELECT doc_id, len(m) AS n, list_min(m) AS matched FROM (SELECT doc_id, regexp_extract_all(text, '(?i)\b(apache|mit)\s+license\b') AS m FROM documents) WHERE len(m) > 0""",
+    "configured_pattern_findings": r"""SELECT doc_id, 'low' AS severity, len(m) AS n, list_min(m) AS matched FROM (SELECT doc_id, regexp_extract_all(text, '(?i)\b(apache|mit)\s+license\b') AS m FROM documents) WHERE len(m) > 0""",
     "disabled_detector_scan": f"{PER_DOC} SELECT CASE WHEN pay THEN 'malicious' WHEN adr THEN 'suspicious' ELSE 'clean' END AS verdict, count(*) AS n FROM v GROUP BY 1",
     "threshold_override_scan": f"""{PER_DOC} SELECT doc_id, CASE WHEN risk_score >= 45 THEN 'malicious' WHEN risk_score > 0 THEN 'suspicious' ELSE 'clean' END AS verdict,
       (CASE WHEN risk_score >= 45 THEN risk_score WHEN risk_score > 0 THEN greatest(risk_score, 30) ELSE 0 END)::BIGINT AS risk_score FROM v""",
@@ -198,6 +204,8 @@ SQL |= {
       (0, 'clean', false, 'clean', 0), (1, 'dark_banner', false, 'clean', 0), (2, 'white_text', true, 'malicious', 78),
       (3, 'tiny_font', true, 'malicious', 78), (4, 'invisible_render_mode', true, 'malicious', 78), (5, 'offpage', true, 'malicious', 78),
       (6, 'metadata', true, 'malicious', 78), (7, 'annotation', true, 'malicious', 78), (8, 'visible_injection', true, 'malicious', 70)) g(i, t, p, v, s)""",
+    "pdf_extractions": """WITH l AS (SELECT doc_id, md5(array_to_string(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: x <> ''), chr(10))) AS digest FROM documents)
+      SELECT doc_id, extractor, digest FROM l, (VALUES ('page'), ('unclipped')) m(extractor)""",
     "pdf_round_trip": """WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
       n AS (SELECT doc_id, len(lines) AS n, list_filter(lines, lambda x: x <> '') AS shown FROM l)
       SELECT doc_id, greatest(1, (n + 49) // 50)::BIGINT AS pages, len(shown)::BIGINT AS lines, md5(coalesce(array_to_string(shown, chr(10)), '')) AS text_md5, true AS readable FROM n""",

@@ -239,6 +239,21 @@ def divergence_findings(spark, sf_dir):
     )
 
 
+@query
+def divergent_streams(spark, sf_dir):
+    found = divergence.divergence_layer(_extractions(spark, sf_dir), 8)
+    return found.select("doc_id", F.md5("divergent_text").alias("digest"))
+
+
+@query
+def extractor_text_caps(spark, sf_dir):
+    """What a result keeps of each extractor's text."""
+    docs = fixtures.documents(spark, sf_dir)
+    known = Relations(docs.select("doc_id", F.lit(None).cast("string").alias("error")), extractions=fixtures.extractions(docs))
+    kept = _only("none").scan(known).select("doc_id", F.explode("extractor_texts").alias("extractor", "text"))
+    return kept.select("doc_id", "extractor", F.char_length("text").cast("long").alias("n"), F.md5("text").alias("digest"))
+
+
 def _carried(spark, sf_dir) -> DataFrame:
     """Documents whose payloads come through metadata only."""
     pages = _pages(spark, sf_dir)
@@ -333,6 +348,14 @@ def custom_pattern_findings(spark, sf_dir):
     return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("detail")["matched"]).alias("matched"))
 
 
+@query
+def configured_pattern_findings(spark, sf_dir):
+    config = ScreenConfig.from_dict({"custom_patterns": [{"pattern": CUSTOM, "severity": "low", "message": "a license"}]})
+    found = findings_table(Screen(config, default_registry()).scan_texts(fixtures.documents(spark, sf_dir)))
+    found = found.where("detector = 'config_custom_patterns'")
+    return found.groupBy("doc_id", "severity").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("detail")["matched"]).alias("matched"))
+
+
 @query
 def disabled_detector_scan(spark, sf_dir):
     results = _scan(spark, sf_dir, disabled_detectors=["unicode_tricks", "normalization"])
@@ -501,12 +524,23 @@ def pdf_sample_scan(spark, sf_dir):
     return results.join(made.select("doc_id", "technique", "is_poisoned"), "doc_id")
 
 
+def _written(spark, sf_dir) -> DataFrame:
+    ship_package(spark)
+    texts = fixtures.documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return texts.mapInArrow(_as_pdf, "doc_id long, content binary")
+
+
+@query
+def pdf_extractions(spark, sf_dir):
+    """What the reader's own extractors give of every document written as a PDF file."""
+    read = pdf.parse_files(_written(spark, sf_dir)).select("doc_id", F.explode("extractions").alias("e"))
+    return read.where("e.extractor in ('page', 'unclipped')").select("doc_id", F.col("e.extractor").alias("extractor"), F.md5("e.text").alias("digest"))
+
+
 @query
 def pdf_round_trip(spark, sf_dir):
     """Every document written as a PDF file and read back."""
-    ship_package(spark)
-    files_made = fixtures.documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    read = pdf.parse_files(files_made.mapInArrow(_as_pdf, "doc_id long, content binary"))
+    read = pdf.parse_files(_written(spark, sf_dir))
     lines = F.array_join(F.transform("spans", lambda s: s["text"]), "\n")
     return read.select(
         "doc_id",
