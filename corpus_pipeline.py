@@ -1,7 +1,7 @@
 """A corpus pipeline: quality, near-duplicates, secrets, mixing, packing.
 
 Every stage works on all that the one before it kept.  All but the last return the
-columns of ``documents``.
+columns of ``documents``.  Empty tables give empty ones; columns that ``documents`` has beside its own stay.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilsift.llm.common import durable, read_table
+from veilsift.llm.common import durable, read_table, spread
 from veilsift.llm.minhash import drop_near_duplicates
 from veilsift.llm.mixing import mixed_documents
 from veilsift.llm.packing import pack
@@ -21,27 +21,27 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go: null, empty and short texts, junk, repeats; rows are judged one by one."""
     return keep_good(docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each group of near-duplicates stays; rows of one id are one document, rows without an id all stay."""
     return drop_near_duplicates(docs)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are cut out of the texts."""
+    """Secrets are cut out of the texts; every row stays, a null text stays null."""
     return redact_secrets(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are taken as often as their source's weight asks."""
+    """Documents are taken as often as their source's weight asks; null sources are one source, texts without words go or stay."""
     return mixed_documents(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of the mix."""
+    """Token sequences of the mix; a null or empty text is its end id alone."""
     return pack(docs)
 
 
@@ -58,7 +58,7 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    docs = spread(read_table(spark, sf_dir, "documents"))
     for name, stage in STAGES[:-1]:
         docs = durable(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -3,6 +3,7 @@
 from collections import Counter
 
 import corpus_pipeline
+import pytest
 from veilsift.llm.minhash import near_duplicates
 from veilsift.llm.quality import quality
 from veilsift.llm.secrets import find_secrets
@@ -26,6 +27,25 @@ def test_stages(spark, sf_dir):
     assert pieces == times
 
 
+@pytest.mark.parametrize("table", ["edges", "edges_clash", "nothing"])
+def test_stages_on_odd_rows(request, spark, sf_dir, table):
+    docs = request.getfixturevalue(table)
+    rows = docs.collect()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, sf_dir)
+        kept = Counter((r["doc_id"], r["source"]) for r in got.collect())
+        assert got.columns == docs.columns
+        given = Counter((r["doc_id"], r["source"]) for r in rows)
+        if name == "source_mixing":
+            assert all(n <= 2 * given[k] for k, n in kept.items())
+        else:
+            assert kept <= given
+        if name == "secret_scan":
+            assert kept == given
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
+    assert packed.where("piece = 0").count() == len(rows)
+
+
 def test_run_equals_its_stages(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).where("piece = 0").count() > 0
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_duplicates", "secret_scan", "source_mixing", "best_fit_packing"]

@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import licenses, lm, minhash, mixing, packing, quality, secrets, sharding, tokens, webp
-from .common import read_table
+from .common import read_table, spread
 from .oracle import ORACLES
 
 
 def _documents(operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: operator(read_table(spark, sf_dir, "documents"))
+    return lambda spark, sf_dir: operator(spread(read_table(spark, sf_dir, "documents")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
