@@ -14,10 +14,12 @@ from __future__ import annotations
 import heapq
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, scratch_path, with_rank
+from .common import arrow_limits, durable, scratch_path, with_rank
 
 OLD_SHARDS = 16
 NEW_SHARDS = 24
@@ -139,16 +141,22 @@ def _facts(docs: DataFrame, old_shards: int, old_shard: str | None) -> dict[str,
     }
 
 
-def _ranked(rows: DataFrame, counted: DataFrame, order: list[Column]) -> DataFrame:
+def _ranked(table: DataFrame) -> DataFrame:
     """Rank in the old shard, the heaviest row first."""
-    return with_rank(rows, ["old_shard"], [-F.col("size"), F.col("spread")], [F.col("doc_id"), F.col("text_crc32"), *order], counted=counted)
+    return with_rank(table, ["old_shard"], [-F.col("size"), F.col("spread")], [F.col("doc_id"), F.col("text_crc32")])
+
+
+def _code(old_shard: Column, size: Column, spread: Column) -> Column:
+    """One number that orders rows as their ranks do, up to rows of one shard, size and hash."""
+    lighter = F.lit((1 << 32) - 1) - size
+    return ((old_shard.cast("long") + 1) * F.lit(1 << 40) + lighter * F.lit(SPREAD) + spread).cast("long")
 
 
 def _blocks(table: DataFrame, shards: int) -> dict[int, list[tuple[int, int]]]:
     """The three blocks of each old shard; a number of rows that depends on the shards alone reaches the driver."""
     base, rank = table.count() // shards, F.col("rank")
     part = F.when(rank < base, 0).when(rank == base, 1).otherwise(2)
-    cut = _ranked(table, table, []).groupBy("old_shard", part.alias("part")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+    cut = _ranked(table).groupBy("old_shard", part.alias("part")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
     out: dict[int, list[tuple[int, int]]] = {}
     for shard, _, rows, size in sorted(cut.collect()):
         out.setdefault(shard, []).append((rows, size))
@@ -167,17 +175,40 @@ class Plan:
         """Shards that a row left or came to."""
         return sorted({s for o, _, _, to, _ in self.runs if o != to for s in (o, to) if s != NOWHERE})
 
-    def placed(self, docs: DataFrame | None = None) -> DataFrame:
-        """Every row's place; whole rows of ``docs`` as ``row``, if those are given."""
-        spark = self.table.sparkSession
-        if docs is None:
-            ranked = _ranked(self.table, self.table, [])
-        else:
-            others = F.to_json(F.struct(F.lit(0), *(c for c in docs.columns if c not in ("doc_id", "text"))))
-            rows = docs.select("doc_id", F.struct(*docs.columns).alias("row"), others.alias("_others"), *(c.alias(n) for n, c in self.facts.items()))
-            ranked = _ranked(rows, self.table, [F.col("_others")])
+    def placed(self) -> DataFrame:
+        """Every row's place, without the row."""
+        return self._dealt(_ranked(self.table))
+
+    def whole_rows(self, docs: DataFrame, per_file: int) -> DataFrame:
+        """The rows of ``docs`` as ``row``, each with its place, a file's rows in one task.
+
+        A file is a range of ranks in one old shard, so its rows are known by where their code falls among
+        the files' first codes, before anything is shuffled; rows of one code stay together.
+        """
+        spark = docs.sparkSession
+        code = _code(F.col("old_shard"), F.col("size"), F.col("spread"))
+        buckets = _ranked(self.table).groupBy("old_shard", code.alias("code")).agg(F.min("rank").alias("start"))
+        cut = buckets.groupBy("old_shard", F.floor(F.col("start") / per_file)).agg(F.min("code").alias("code"), F.min("start").alias("start"))
+        # A row per file.
+        files = sorted((r["code"], r["start"]) for r in cut.collect())
+        firsts = np.array([c for c, _ in files], np.int64)
+
+        @F.pandas_udf("int")
+        def file_of(codes: pd.Series) -> pd.Series:
+            return pd.Series(np.searchsorted(firsts, codes.to_numpy(), side="right") - 1)
+
+        arrow_limits(spark)
+        others = F.to_json(F.struct(F.lit(0), *(c for c in docs.columns if c not in ("doc_id", "text"))))
+        rows = docs.select("doc_id", F.struct(*docs.columns).alias("row"), others.alias("_others"), *(c.alias(n) for n, c in self.facts.items()))
+        rows = rows.withColumn("code", code).withColumn("file", file_of("code")).repartitionById(max(1, len(files)), F.col("file"))
+        inside = F.row_number().over(Window.partitionBy("file").orderBy("code", "doc_id", "text_crc32", "_others"))
+        starts = spark.createDataFrame([(i, first) for i, (_, first) in enumerate(files)], "file int, start long")
+        ranked = rows.withColumn("_inside", inside).join(F.broadcast(starts), "file")
+        return self._dealt(ranked.withColumn("rank", F.col("start") + F.col("_inside") - 1))
+
+    def _dealt(self, ranked: DataFrame) -> DataFrame:
         # A few runs per old and new shard, whatever the number of documents.
-        runs = spark.createDataFrame(self.runs, "o int, low long, high long, shard int, first long")
+        runs = self.table.sparkSession.createDataFrame(self.runs, "o int, low long, high long, shard int, first long")
         dealt = ranked.join(F.broadcast(runs), F.expr("old_shard = o and rank >= low and rank < high"))
         return dealt.withColumn("slot", F.expr("first + rank - low"))
 
@@ -223,12 +254,8 @@ def rewrite(docs: DataFrame, plan: Plan, out: str, file_bytes: int = FILE_BYTES)
     """
     total, size = plan.table.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     per_file = max(1, total * file_bytes // max(1, size))
-    changed = plan.changed()
-    rows = {s: sum(high - low for _, low, high, to, _ in plan.runs if to == s) for s in changed}
-    files = max(1, sum(-(-n // per_file) for n in rows.values()))
-    chosen = plan.placed(docs).where(F.col("shard").isin(changed)).select("old_shard", "slot", "row", "shard")
-    dealt = chosen.repartition(files, "shard", F.floor(F.col("slot") / per_file)).sortWithinPartitions("shard", "slot")
-    dealt.write.mode("overwrite").partitionBy("shard").option("compression", "zstd").parquet(out)
+    chosen = plan.whole_rows(docs, per_file).where(F.col("shard").isin(plan.changed())).select("old_shard", "slot", "row", "shard")
+    chosen.sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").option("compression", "zstd").parquet(out)
     return docs.sparkSession.read.schema(chosen.schema).parquet(out)
 
 
