@@ -1,8 +1,8 @@
 """Language-model scoring by the likelihood of a subword lattice.
 
-The pieces are those of an existing vocabulary and are never trained; their
-unigram scores start from the vocabulary's own order and are fitted to the training
-documents by expectation steps over all segmentations.  A word's probability is the sum over
+The pieces are those of an existing vocabulary and are never trained.  A departure from the method as
+named: no unigram vocabulary with scores of its own is public here, so the scores start from the order of a
+BPE vocabulary and are fitted to the training documents by expectation steps over all segmentations.  A word's probability is the sum over
 **all** its segmentations into pieces, by a forward recursion in log space; a text's is the
 product over its words and the end.
 
@@ -256,7 +256,7 @@ def score(docs: DataFrame, path: str | None = None, block_bytes: int = BLOCK_BYT
 
     per_block = (
         blocked.select("block", "held_out", "text")
-        .repartition(blocks, "block")
+        .repartitionById(blocks, "block")
         .mapInArrow(distinct_words, "block int, word binary, n long")
     )
     asked = durable(per_block, "block-words")
@@ -308,9 +308,12 @@ def score(docs: DataFrame, path: str | None = None, block_bytes: int = BLOCK_BYT
             }
         )
 
+    # One block per task on both sides, however many partitions the session shuffles into.
+    known_words = answers.select("block", "word", "c", "lp").repartitionById(blocks, "block")
     return (
-        blocked.groupBy("block")
-        .cogroup(answers.select("block", "word", "c", "lp").groupBy("block"))
+        blocked.repartitionById(blocks, "block")
+        .groupBy("block")
+        .cogroup(known_words.groupBy("block"))
         .applyInArrow(
             per_text,
             "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
