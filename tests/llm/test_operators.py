@@ -144,6 +144,33 @@ def test_every_pair_of_two_components_meets_in_blocks(spark):
     assert set(met) == want and set(met.values()) == {1}
 
 
+def test_only_large_parts_of_a_group_are_copied_to_salts(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "SALTED", 20)
+    made_rows, salted = [], minhash._salted
+
+    def watched(placed):
+        made_rows.append((placed.count(), salted(placed).count()))
+        return salted(placed)
+
+    monkeypatch.setattr(minhash, "_salted", watched)
+    rows = [(1, i, i) for i in range(200)] + [(2, i, 0 if i < 100 else i) for i in range(150)] + [(3, i, i % 2) for i in range(60)]
+    dealt = minhash._in_block_pairs(spark.createDataFrame(rows, "g long, id long, component long"), ["g"], "id", 15)
+    # Three parts of 20 members and more, of 253 in all.
+    assert made_rows == [(3, 3 * minhash.SALTS), (253, 253 + 3 * (minhash.SALTS - 1))]
+    by = defaultdict(list)
+    for r in dealt.collect():
+        by[r["g"], r["lo"], r["hi"]].append(r)
+    met = Counter(
+        (g, a["id"], b["id"])
+        for (g, lo, hi), members in by.items()
+        for a in members
+        for b in members
+        if a["id"] < b["id"] and a["component"] != b["component"] and (lo == hi or a["blk"] != b["blk"])
+    )
+    want = {(g, i, j) for g, i, c in rows for h, j, d in rows if g == h and i < j and c != d}
+    assert set(met) == want and set(met.values()) == {1}
+
+
 def test_repeated_ids_with_different_texts(spark):
     a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
     near_b = b + " more"

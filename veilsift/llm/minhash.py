@@ -36,8 +36,8 @@ MAX_HASHES = 96
 #: Rows of a block; a task compares two blocks of a large group, by signatures or by full sets.
 SIGNATURE_BLOCK = 1024
 BLOCK = 256
-#: Tasks over which the members of one group and component are joined.
-SALTS = 16
+#: Tasks over which more than ``SALTED`` members of one group and component are joined.
+SALTS, SALTED = 16, 2048
 CACHED_WORDS = 400_000
 _U = np.uint64
 
@@ -222,11 +222,8 @@ def _in_block_pairs(members: DataFrame, keys: list[str], member: str, size: int,
     ).where("_parts > 1")
     same = [F.col(f"p.{k}") == F.col(f"o.{k}") for k in keys] + [F.col("p._own").eqNullSafe(F.col("o._own"))]
     placed = parts.alias("p").join(owners.alias("o"), same)
-    placed = placed.select(*(f"p.{k}" for k in keys), "p.component", "_blocks", "_start", "_all", "_skip")
-    # Members of one group and component meet their row in several tasks.
-    salted = placed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).repartition(*keys, "component", "_salt")
-    members = members.withColumn("_salt", F.pmod(F.xxhash64(member), F.lit(SALTS)).cast("int"))
-    rows = members.join(salted, [*keys, "component", "_salt"]).drop("_salt")
+    placed = placed.select(*(f"p.{k}" for k in keys), "p.component", "_n", "_blocks", "_start", "_all", "_skip")
+    rows = _joined_by_component(members, placed, keys, member)
     rows = rows if load is None else load.join(rows, member)
     others = F.transform(
         F.sequence(F.lit(0), F.col("_all") - F.col("_skip") - 1),
@@ -240,6 +237,26 @@ def _in_block_pairs(members: DataFrame, keys: list[str], member: str, size: int,
     return dealt.repartition(*order).sortWithinPartitions(*order, member)
 
 
+def _salted(placed: DataFrame) -> DataFrame:
+    """A row of ``placed`` once, or once for each salt where it has more than ``SALTED`` members."""
+    last = F.when(F.col("_n") > SALTED, SALTS - 1).otherwise(0)
+    return placed.withColumn("_salt", F.explode(F.sequence(F.lit(0), last)))
+
+
+def _joined_by_component(members: DataFrame, placed: DataFrame, keys: list[str], member: str) -> DataFrame:
+    """``members`` with the row of ``placed`` of their group and component.
+
+    Many members meet their row in several tasks.  Which members these are is looked up first, so copies are
+    made of rows with more than ``SALTED`` members only: at most ``SALTS / SALTED`` for each member.
+    """
+    at = [*keys, "component", "_salt"]
+    large = _salted(placed.where(F.col("_n") > SALTED).select(*keys, "component", "_n"))
+    large = large.select(*at, F.lit(True).alias("_large")).repartition(*at)
+    salted = members.withColumn("_salt", F.pmod(F.xxhash64(member), F.lit(SALTS)).cast("int")).join(large, at, "left")
+    salted = salted.withColumn("_salt", F.when(F.col("_large"), F.col("_salt")).otherwise(0)).drop("_large")
+    return salted.join(_salted(placed).repartition(*at), at).drop("_salt", "_n")
+
+
 def _suspects(members: DataFrame, plan: SignaturePlan, num: int, den: int) -> DataFrame:
     """Edges ``(a, b)`` that span every pair of one bucket that may link two components.
 
