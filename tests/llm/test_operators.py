@@ -269,6 +269,14 @@ def test_stored_texts_use_every_part_of_the_format(small, monkeypatch):
     assert {"references", "lengths of codes", "cache", "palette", "invert_predictor", "subtract_green", "cross_colour_transform"} <= set(+met)
 
 
+def test_every_stored_text_has_transforms(small):
+    media = [bytes(r["media"]) for r in webp.store_text(small).collect()]
+    # Behind 8 bytes of a chunk's head follow 40 bits of the image's, then whether a transform comes, and which.
+    first = Counter((m[25] & 1, m[25] >> 1 & 3) for m in media)
+    assert set(first) == {(1, webp.PALETTE), (1, webp.PREDICTOR), (1, webp.SUBTRACT_GREEN)}
+    assert min(first.values()) > len(media) / 8 and first[1, webp.SUBTRACT_GREEN] > len(media) / 3
+
+
 @pytest.mark.parametrize("form", [(), *webp.FORMS])
 def test_writer_and_reader_agree(form):
     rng = np.random.default_rng(3)

@@ -1,10 +1,9 @@
 """Media columns: texts stored as lossless WebP images, and pixel arrays read from such images.
 
-Media of a corpus come from many writers, so streams of every kind must be met.  A text of few different
-bytes is a palette image; one text in ``DEALT`` by content is, whatever it holds, an image with the palette,
-the predictor, cross-colour and subtract-green, or all of these three, whose tile modes and factors, colour
-cache and code lengths follow its pixels; all others have their bytes in the green samples, under
-codes made for text.  All have references.
+Media of a corpus come from many writers, so streams of every kind must be met.  Each text is, whatever it
+holds, an image with transforms: the palette, the predictor, cross-colour and subtract-green, or all of
+these three, in equal shares dealt by content.  All have references and code lengths that follow the counts
+of their pixels; tile modes and factors follow the pixels too, and pixels of four samples have a colour cache.
 """
 
 from __future__ import annotations
@@ -22,14 +21,13 @@ from pyspark.sql.types import StructType
 
 from .common import map_batches, text_bytes
 from .webp_read import CROSS_COLOUR, PALETTE, PREDICTOR, SUBTRACT_GREEN, decode
-from .webp_write import encode, encode_green
+from .webp_write import encode
 
 MAX_SIDE = 1 << 14
 UNIT = 64
 #: Longer payloads have four samples a pixel.
 MOST_GREEN = 1 << 20
-#: Of so many texts one is dealt to each of the forms below: the transforms in the order in which they are applied.
-DEALT = 64
+#: Transforms of an image in the order in which they are applied.
 FORMS = ((PALETTE,), (PREDICTOR,), (SUBTRACT_GREEN, CROSS_COLOUR), (SUBTRACT_GREEN, PREDICTOR, CROSS_COLOUR))
 #: A palette of so few colours puts several samples into one pixel.
 FEW = 16
@@ -45,21 +43,17 @@ def shape_for(pixels: int) -> tuple[int, int]:
 
 
 def form_of(payload: bytes) -> tuple[int, ...]:
-    """The transforms of a payload's image; none but the palette, or none at all, for bytes in green alone."""
-    place = zlib.crc32(payload) % DEALT
+    """The transforms of a payload's image, by its content: all forms come equally often, and no payload goes without."""
+    place = zlib.crc32(payload)
     if len(payload) > MOST_GREEN:
         return FORMS[1 + place % 3]
-    if place < len(FORMS):
-        return FORMS[place]
-    return (PALETTE,) if len(set(payload)) <= FEW else ()
+    return FORMS[0] if len(set(payload)) <= FEW else FORMS[place % len(FORMS)]
 
 
 def encode_payload(payload: bytes) -> bytes:
     """A lossless WebP file whose samples are the payload; its pixels end with zeros."""
     form = form_of(payload)
     samples = np.frombuffer(payload, np.uint8)
-    if not form:
-        return encode_green(samples, *shape_for(len(samples)))
     if form == (PALETTE,):
         width, height = shape_for(len(samples))
         pixels = np.zeros((width * height, 4), np.uint8)

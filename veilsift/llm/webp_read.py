@@ -105,6 +105,15 @@ class PrefixCode:
         self.packed = self.symbols << 8 | self.taken
 
 
+@lru_cache(maxsize=1024)
+def _lone(size: int, symbol: int) -> PrefixCode:
+    if symbol >= size:
+        raise ValueError("a symbol beyond the alphabet")
+    lengths = np.zeros(size, np.int64)
+    lengths[symbol] = 1
+    return PrefixCode(lengths)
+
+
 #: Codes read before, by alphabet and first bits: the bits of their description and the code.
 _KNOWN: dict[tuple[int, int], tuple[int, int, PrefixCode]] = {}
 MOST_KNOWN = 256
@@ -115,7 +124,13 @@ def read_prefix_codes(bits: Bits, sizes: tuple[int, ...]) -> list[PrefixCode]:
     out: list[PrefixCode] = []
     for size in sizes:
         at, shift = divmod(bits.pos, 8)
-        key = size, int.from_bytes(bits.data[at : at + 9], "little") >> shift & 0xFFFFFFFFFFFFFFFF
+        begin = int.from_bytes(bits.data[at : at + 9], "little") >> shift & 0xFFFFFFFFFFFFFFFF
+        if begin & 3 == 1:  # a lone symbol of one bit or eight
+            wide = begin & 4
+            bits.pos += 11 if wide else 4
+            out.append(_lone(size, begin >> 3 & (255 if wide else 1)))
+            continue
+        key = size, begin
         if known := _KNOWN.get(key):
             n, value, code = known
             if int.from_bytes(bits.data[at : at + (n + shift + 7) // 8], "little") >> shift & ((1 << n) - 1) == value:

@@ -257,12 +257,23 @@ def references(pixels: np.ndarray, green_only: bool) -> list[tuple[int, int, int
     return out
 
 
+@lru_cache(maxsize=64)
+def _no_bits(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The codes and lengths of an alphabet of which one symbol comes or none."""
+    return np.zeros(size, np.uint64), np.zeros(size, np.int64)
+
+
 class Codes:
     """The five prefix codes of an image, for these counts, and their description."""
 
     def __init__(self, counts: list[np.ndarray]):
         self.codes, f, made = [], Fields(), None
         for c in counts:
+            used = np.flatnonzero(c)
+            if len(used) < 2 and (not len(used) or used[0] < 256):
+                f.put_list([1, 0, 1, int(used[0]) if len(used) else 0], [1, 1, 1, 8])
+                self.codes.append(_no_bits(len(c)))
+                continue
             if made is None or made[0] is not c:
                 lengths = code_lengths(c, CODE_BITS)
                 made = c, lengths, codes_of(lengths)
@@ -272,32 +283,12 @@ class Codes:
         self.values, self.lengths = np.concatenate(f.values), np.concatenate(f.lengths)
 
 
-@lru_cache(maxsize=1)
-def text_codes() -> Codes:
-    """Codes for bytes of text in green and nothing else: fixed, so that short texts need no counting.
-
-    Weights fall with the rank of a letter, then of other printable characters, then of other bytes.
-    """
-    by_rank = [*b" etaoinsrhdlucmfwygpbvk\n.,-'"]
-    printable = [b for b in range(32, 127) if b not in by_rank]
-    others = [b for b in range(256) if b not in by_rank and b not in printable]
-    green = np.zeros(280, np.int64)
-    green[by_rank] = [60000 // (k + 4) for k in range(len(by_rank))]
-    green[printable], green[others] = 300, 40
-    green[256:] = [400 if 3 <= k <= 12 else 40 for k in range(24)]
-    red, blue, alpha = (np.bincount([x], minlength=256) for x in (0, 0, 255))
-    return Codes([green, red, blue, alpha, np.arange(1, 41) ** 2])
-
-
-def put_image(f: Fields, argb: np.ndarray, cache_bits: int, main: bool, codes: Codes | None = None) -> None:
-    """An entropy-coded image: literals, references and, with ``cache_bits``, places of the colour cache.
-
-    Without ``codes`` it has its own, whose lengths follow the counts.
-    """
+def put_image(f: Fields, argb: np.ndarray, cache_bits: int, main: bool) -> None:
+    """An entropy-coded image: literals, references and, with ``cache_bits``, places of the colour cache."""
     height, width = argb.shape
     px = argb.reshape(-1)
     total = len(px)
-    green_only = codes is not None or bool(((px ^ px[0]) & np.uint32(0xFFFF00FF)).max() == 0)
+    green_only = bool(((px ^ px[0]) & np.uint32(0xFFFF00FF)).max() == 0)
     refs = references(px, green_only) if main else []
     kind = np.zeros(total, np.uint8)  # 0 literal, 1 inside a reference, 2 its start, 3 in the cache
     green = ((px >> 8) & 255).astype(np.int64)
@@ -326,16 +317,13 @@ def put_image(f: Fields, argb: np.ndarray, cache_bits: int, main: bool, codes: C
         f.put(cache_bits, 4)
     if main:
         f.put(0, 1)  # one group of codes
-    channels = []
-    if codes is None:
-        lit = px[literal]
-        channels = [(lit >> np.uint32(s)) & np.uint32(255) for s in (16, 0, 24)]  # red, blue, alpha
-    if codes is None:
-        counts = [np.bincount(symbols, minlength=size), *(np.bincount(c, minlength=256) for c in channels)]
-        counts.append(np.bincount(dist_symbol, minlength=40) if refs else np.zeros(40, np.int64))
-        if min(np.count_nonzero(c) for c in counts[1:3]) > 8:
-            counts[1:3] = [counts[1] + counts[2]] * 2  # one code for two channels that both need one
-        codes = Codes(counts)
+    lit = px[literal]
+    channels = [(lit >> np.uint32(s)) & np.uint32(255) for s in (16, 0, 24)]  # red, blue, alpha
+    counts = [np.bincount(symbols, minlength=size), *(np.bincount(c, minlength=256) for c in channels)]
+    counts.append(np.bincount(dist_symbol, minlength=40) if refs else np.zeros(40, np.int64))
+    if min(np.count_nonzero(c) for c in counts[1:3]) > 8:
+        counts[1:3] = [counts[1] + counts[2]] * 2  # one code for two channels that both need one
+    codes = Codes(counts)
     f.put_all(codes.values, codes.lengths)
     (gc, gn), *rest, (dc, dn) = codes.codes
     values, lengths = gc[symbols], gn[symbols].copy()
@@ -454,16 +442,6 @@ def encode(pixels: np.ndarray, transforms: tuple[int, ...] = (), cache: bool = T
     return _file(f)
 
 
-def encode_green(samples: np.ndarray, width: int, height: int) -> bytes:
-    """An opaque image of samples in green alone under the codes for text; zeros follow the samples."""
-    f = _started(width, height, False)
-    argb = np.full(width * height, 0xFF000000, np.uint32)
-    argb[: len(samples)] |= samples.astype(np.uint32) << np.uint32(8)
-    f.put(0, 1)
-    put_image(f, argb.reshape(height, width), 0, True, text_codes())
-    return _file(f)
-
-
 def _started(width: int, height: int, alpha: bool) -> Fields:
     f = Fields()
     f.put_list([0x2F, width - 1, height - 1, int(alpha), 0], [8, 14, 14, 1, 3])
