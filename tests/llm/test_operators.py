@@ -296,6 +296,69 @@ def test_long_payloads_have_four_samples_a_pixel():
     assert alpha and webp.samples_of(pixels, alpha).tobytes()[: len(p)] == p
 
 
+def some_payloads(n):
+    """Payloads of all forms: words, repeats, few symbols, noise; most are short, some long."""
+    rng = random.Random(7)
+    words = ["".join(rng.choices("abcdefghijklmnop ", k=rng.randrange(1, 9))) for _ in range(300)]
+    kinds = (
+        lambda k: " ".join(rng.choices(words, k=k)).encode(),
+        lambda k: rng.choice(words).encode() * k,
+        lambda k: bytes(rng.choices(b"ACGT", k=k)),
+        lambda k: rng.randbytes(k),
+        lambda k: bytes(range(256)) * (k // 50) + b"\0" * k,
+    )
+    return [webp.padded(kinds[i % len(kinds)](rng.choice((0, 1, 40, 300, 2000)))) for i in range(n)]
+
+
+def test_texts_are_written_and_read_together(monkeypatch):
+    payloads = some_payloads(400)
+    calls, real = Counter(), webp_write.code_lengths
+    monkeypatch.setattr(webp_write, "code_lengths", lambda *a: calls.update(["codes"]) or real(*a))
+    media = webp.encode_payloads(payloads)
+    assert calls["codes"] < 40  # not some for each text
+    # Neither a file nor its pixels depend on those beside it.
+    assert media == [webp.encode_payload(p) for p in payloads]
+    assert {webp.form_of(p) for p in payloads} == set(webp.FORMS)
+    for p, m, (pixels, alpha) in zip(payloads, media, webp.decode_all(media), strict=True):
+        alone, alone_alpha = webp.decode(m)
+        assert np.array_equal(pixels, alone) and alpha == alone_alpha
+        assert webp.samples_of(pixels, alpha).tobytes()[: len(p)] == p
+
+
+def test_broken_files_among_others():
+    payloads = some_payloads(400)
+    media = webp.encode_payloads(payloads)
+    rng = random.Random(8)
+    given = []
+    for i, m in enumerate(media):
+        bad = bytearray(m)
+        if i % 2:
+            for _ in range(2):
+                bad[rng.randrange(20, len(bad))] ^= 1 << rng.randrange(8)
+        given.append(bytes(bad[: 40 if i % 10 == 2 else None]))
+    for i, (m, found) in enumerate(zip(given, webp.decode_all(given), strict=True)):
+        try:
+            pixels, alpha = webp.decode(m)
+        except (ValueError, IndexError):
+            assert isinstance(found, (ValueError, IndexError))
+        else:
+            assert np.array_equal(found[0], pixels) and found[1] == alpha
+            assert i % 2 or i % 10 == 2 or webp.samples_of(pixels, alpha).tobytes()[: len(payloads[i])] == payloads[i]
+
+
+def test_no_code_is_longer_than_allowed():
+    fibonacci = [1, 1]
+    while len(fibonacci) < 30:
+        fibonacci.append(fibonacci[-1] + fibonacci[-2])
+    counts, code = np.array(fibonacci + [5] + [7, 9] + list(range(1, 300))), np.repeat(np.arange(4), [30, 1, 2, 299])
+    for most in (9, 12):
+        lengths = webp_write.code_lengths(counts, code, 4, most)
+        assert lengths.max() <= most and lengths[30] == 1
+        for k in (0, 2, 3):
+            assert (2.0 ** -lengths[code == k]).sum() == 1
+            assert (np.diff(lengths[code == k][np.argsort(counts[code == k], kind="stable")]) <= 0).all()
+
+
 def test_pixel_arrays(spark):
     good = webp.encode_payload(webp.padded(b"abcd" * 40))
     media = spark.createDataFrame(

@@ -20,8 +20,8 @@ from pyspark.sql.pandas.types import from_arrow_schema
 from pyspark.sql.types import StructType
 
 from .common import map_batches, text_bytes
-from .webp_read import CROSS_COLOUR, PALETTE, PREDICTOR, SUBTRACT_GREEN, decode
-from .webp_write import encode
+from .webp_read import CROSS_COLOUR, PALETTE, PREDICTOR, SUBTRACT_GREEN, decode, decode_all  # noqa: F401
+from .webp_write import MATCH_BLOCK, encode_all
 
 MAX_SIDE = 1 << 14
 UNIT = 64
@@ -47,23 +47,37 @@ def form_of(payload: bytes) -> tuple[int, ...]:
     place = zlib.crc32(payload)
     if len(payload) > MOST_GREEN:
         return FORMS[1 + place % 3]
-    return FORMS[0] if len(set(payload)) <= FEW else FORMS[place % len(FORMS)]
+    few = len(set(payload[:UNIT * FEW])) <= FEW and len(set(payload)) <= FEW
+    return FORMS[0] if few else FORMS[place % len(FORMS)]
 
 
 def encode_payload(payload: bytes) -> bytes:
     """A lossless WebP file whose samples are the payload; its pixels end with zeros."""
-    form = form_of(payload)
-    samples = np.frombuffer(payload, np.uint8)
-    if form == (PALETTE,):
-        width, height = shape_for(len(samples))
-        pixels = np.zeros((width * height, 4), np.uint8)
-        pixels[:, 0] = 255
-        pixels[: len(samples), 2] = samples
-        return encode(pixels.reshape(height, width, 4), form, cache=False, alpha=False)
-    width, height = shape_for(len(samples) // 4)
-    given = np.zeros(4 * width * height, np.uint8)
-    given[: len(samples)] = samples
-    return encode(given.reshape(height, width, 4)[..., [3, 1, 0, 2]], form)
+    return encode_payloads([payload])[0]
+
+
+def encode_payloads(payloads: list[bytes]) -> list[bytes]:
+    """Files as ``encode_payload`` makes them: those of one form are written together, about ``MATCH_BLOCK`` pixels at once."""
+    out: list[bytes] = [b""] * len(payloads)
+    groups: dict[tuple[int, ...], list[int]] = {}
+    for i, payload in enumerate(payloads):
+        groups.setdefault(form_of(payload), []).append(i)
+    for form, places in groups.items():
+        each = 1 if form == (PALETTE,) else 4
+        shapes = [shape_for(len(payloads[i]) // each) for i in places]
+        ends = np.cumsum([width * height for width, height in shapes])
+        for part in np.split(np.arange(len(places)), np.flatnonzero(np.diff(ends // MATCH_BLOCK)) + 1):
+            widths, heights = np.array([shapes[k] for k in part]).T
+            given = b"".join(payloads[places[k]].ljust(each * shapes[k][0] * shapes[k][1], b"\0") for k in part)
+            samples = np.frombuffer(given, np.uint8)
+            if each == 1:
+                pixels = np.zeros((len(samples), 4), np.uint8)
+                pixels[:, 0], pixels[:, 2] = 255, samples
+            else:
+                pixels = samples.reshape(-1, 4)[:, [3, 1, 0, 2]]
+            for k, file in zip(part, encode_all(pixels, widths, heights, form, each > 1, each > 1)):
+                out[places[k]] = file
+    return out
 
 
 def samples_of(pixels: np.ndarray, alpha: bool) -> np.ndarray:
@@ -95,7 +109,7 @@ def store_text(docs: DataFrame) -> DataFrame:
                 batch.column(0),
                 pa.array([len(t) for t in texts], pa.int64()),
                 pa.array([len(p) for p in payloads], pa.int64()),
-                pa.array([encode_payload(p) for p in payloads], pa.binary()),
+                pa.array(encode_payloads(payloads), pa.binary()),
             ],
             ["doc_id", "n_bytes", "payload_bytes", "media"],
         )
@@ -122,18 +136,19 @@ def pixel_arrays(media: DataFrame, column: str = "media") -> DataFrame:
     at = kept.columns.index(column)
     schema = StructType([*kept.schema.fields, *PIXEL_FIELDS.fields])
 
-    def read(stream: bytes | None) -> tuple:
-        if stream is None:
+    def row(found: tuple | Exception | None) -> tuple:
+        if found is None:
             return None, None, None, None, None
-        try:
-            samples = samples_of(*decode(stream))
-        except (ValueError, IndexError) as problem:
-            return None, None, None, None, str(problem)
+        if isinstance(found, Exception):
+            return None, None, None, None, str(found)
+        samples = samples_of(*found)
         height, width, channels = samples.shape
         return width, height, channels, samples.tobytes(), None
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        columns = zip(*(read(m) for m in batch.column(at).to_pylist()))
+        streams = batch.column(at).to_pylist()
+        found = iter(decode_all([m for m in streams if m is not None]))
+        columns = zip(*(row(None if m is None else next(found)) for m in streams))
         extra = [pa.array(list(c), t) for c, t in zip(columns, PIXELS.values())]
         return pa.RecordBatch.from_arrays([*batch.columns, *extra], [*batch.schema.names, *PIXELS])
 

@@ -12,6 +12,7 @@ is walked from the window's start.
 from __future__ import annotations
 
 import struct
+from collections.abc import Callable, Generator
 from functools import lru_cache
 
 import numpy as np
@@ -104,6 +105,13 @@ class PrefixCode:
         self.mask = np.uint32((1 << self.bits) - 1)
         self.packed = self.symbols << 8 | self.taken
 
+    @classmethod
+    def of_table(cls, bits: int, packed: np.ndarray, symbols: np.ndarray, taken: np.ndarray, most: int) -> PrefixCode:
+        code = cls.__new__(cls)
+        code.bits, code.packed, code.symbols, code.taken, code.most = bits, packed, symbols, taken, most
+        code.mask = np.uint32((1 << bits) - 1)
+        return code
+
 
 @lru_cache(maxsize=1024)
 def _lone(size: int, symbol: int) -> PrefixCode:
@@ -194,6 +202,158 @@ def read_prefix_code(bits: Bits, size: int) -> PrefixCode:
     return PrefixCode(lengths)
 
 
+#: From so many streams on their codes are read side by side.
+SIDE_BY_SIDE = 16
+#: What the symbols of a code length code say: the least number of lengths, and the bits added to it.
+_LEAST = np.array([1] * 16 + [3, 3, 11])
+_MORE = np.array([0] * 16 + [2, 3, 7])
+
+
+def _tables(code: np.ndarray, symbol: np.ndarray, length: np.ndarray, codes: int) -> tuple[np.ndarray, ...]:
+    """Tables of canonical codes in a row, as in ``PrefixCode``: the bits of each, its start, whether it is whole, and the entries.
+
+    ``code`` rises, and within a code ``symbol``.
+    """
+    many = np.bincount(code, minlength=codes)
+    bits = np.zeros(codes, np.int64)
+    np.maximum.at(bits, code, length)
+    bits[many == 1] = 0
+    length = np.where(many[code] == 1, 0, length)
+    share = np.int64(1) << (bits[code] - length)
+    whole = (np.bincount(code, share, minlength=codes) == 1 << bits) & (many > 0)
+    kept = np.flatnonzero(whole[code])
+    order = kept[np.argsort(code[kept] * 16 + length[kept], kind="stable")]
+    ordered = np.repeat((symbol[order] << 8 | length[order]).astype(np.int32), share[order])
+    size = np.where(whole, 1 << bits, 0)
+    start = np.cumsum(size) - size
+    packed = np.empty_like(ordered)
+    for b in np.unique(bits[whole]).tolist():
+        low = start[whole & (bits == b)][:, None]
+        packed[low + np.arange(1 << b)] = ordered[low + _turned(b)]
+    return bits, start, whole, packed
+
+
+class _Streams:
+    """Bits of many streams: the next 32 at any place of each, and others above them."""
+
+    def __init__(self, streams: tuple[Bits, ...]):
+        parts = [bits.data for bits in streams]
+        held = b"".join([*(part + bytes(16) for part in parts), bytes(8)])
+        sizes = np.array([len(part) for part in parts])
+        self.base = 8 * (np.cumsum(sizes + 16) - sizes - 16)
+        self.end = self.base + 8 * sizes
+        self.pos = self.base + np.array([bits.pos for bits in streams])
+        words = np.frombuffer(held, "<u4", len(held) // 4).astype(np.int64)
+        self.wide = words[:-1] | words[1:] << 32
+
+    def at(self, pos: np.ndarray) -> np.ndarray:
+        return self.wide.take(pos >> 5, mode="clip") >> (pos & 31)
+
+
+def _read_lengths(streams: _Streams, pos: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Codes described by code lengths, side by side: used symbols as code, symbol and length; places behind; what is wrong."""
+    n = len(pos)
+    head = streams.at(pos)
+    many = 4 + (head >> 1 & 15)
+    own = np.zeros((n, 19), np.int64)
+    own[:, CODE_LENGTH_ORDER] = (streams.at(pos + 5) & 0xFFFFFFFF | streams.at(pos + 37) << 32)[:, None] >> 3 * np.arange(19) & 7
+    own[:, CODE_LENGTH_ORDER] *= np.arange(19) < many[:, None]
+    pos = pos + 5 + 3 * many
+    limited = streams.at(pos)
+    field = 2 + 2 * (limited >> 1 & 7)
+    few = limited & 1 == 1
+    left = np.where(few, 2 + (limited >> 4 & (1 << field) - 1), size)
+    pos += np.where(few, 4 + field, 1)
+    code, symbol = np.nonzero(own)
+    bits, start, whole, packed = _tables(code, symbol, own[code, symbol], n)
+    mask = (1 << bits) - 1
+    filled = np.zeros(n, np.int64)
+    out: list[tuple[np.ndarray, ...]] = []
+    row = np.flatnonzero(whole)
+    p, f, rest = pos[row], filled[row], left[row]
+    low, m, most = start[row], mask[row], size[row]
+    while len(row):
+        word = streams.at(p)
+        here = packed[low + (word & m)]
+        s, taken = here >> 8, here & 255
+        more = _MORE.take(s)
+        times = _LEAST.take(s) + (word >> taken & (1 << more) - 1)
+        out.append((row, f, times, s))
+        p, f, rest = p + taken + more, f + times, rest - 1
+        on = (f < most) & (rest > 0)
+        if not on.all():
+            pos[row], filled[row] = p, f
+            row, p, f, rest, low, m, most = (x[on] for x in (row, p, f, rest, low, m, most))
+    if not out:
+        none = np.zeros(0, np.int64)
+        return none, none, none, pos, ~whole
+    row, f, times, s = (np.concatenate(x) for x in zip(*out))
+    some = np.flatnonzero((s > 0) & (s < 17))
+    some = some[np.argsort(row[some], kind="stable")]
+    row, f, times, s = row[some], f[some], times[some], s[some]
+    # What is repeated is the last length before it, or 8 at first.
+    last = np.maximum.accumulate(np.where(s < 16, np.arange(len(s)), -1))
+    value = np.where((last >= 0) & (row[last] == row), s[last], 8)
+    code = np.repeat(row, times)
+    symbol = np.repeat(f - np.cumsum(times) + times, times) + np.arange(times.sum())
+    return code, symbol, np.repeat(value, times), pos, ~whole | (filled > size)
+
+
+def read_codes_of_all(asked: list[tuple[Bits, tuple[int, ...]]]) -> list[list[PrefixCode] | ValueError | IndexError]:
+    """The codes of these alphabets that come next in each stream, or what is wrong; all streams are read side by side."""
+    if len(asked) < SIDE_BY_SIDE:
+        return [_attempt(read_prefix_codes, *x) for x in asked]
+    streams, sizes = zip(*asked)
+    held, n = _Streams(streams), len(streams)
+    pos, wrong = held.pos, np.zeros(n, bool)
+    out: list = [[] for _ in streams]
+    for size in np.array(sizes).T:
+        head = held.at(pos)
+        two, wide = head >> 1 & 1, head >> 2 & 1
+        first, at = head >> 3 & np.where(wide, 255, 1), np.where(wide, 11, 4)
+        second = np.where(two, head >> at & 255, first)
+        short = head & 1 == 1
+        lone = short & (first == second)
+        wrong |= short & (np.maximum(first, second) >= size)
+        pos = np.where(short, pos + at + 8 * two, pos)
+        rows = np.flatnonzero(~lone & ~wrong)
+        listed = np.flatnonzero(~short[rows])
+        code, symbol, length, after, bad = _read_lengths(held, pos[rows[listed]], size[rows[listed]])
+        pos[rows[listed]] = after
+        wrong[rows[listed]] |= bad
+        pair = np.flatnonzero(short[rows])
+        both = np.sort(np.stack([first, second], 1)[rows[pair]], axis=1)
+        code = np.concatenate([listed[code], np.repeat(pair, 2)])
+        symbol = np.concatenate([symbol, both.ravel()])
+        length = np.concatenate([length, np.ones(both.size, np.int64)])
+        order = np.argsort(code, kind="stable")
+        code, symbol, length = code[order], symbol[order], length[order]
+        bits, start, whole, packed = _tables(code, symbol, length, len(rows))
+        wrong[rows[~whole]] = True
+        most = np.zeros(len(rows), np.int64)
+        np.maximum.at(most, code, symbol)
+        symbols, taken = packed >> 8, packed & 255
+        for r, b, a, m in zip(rows.tolist(), bits.tolist(), start.tolist(), most.tolist()):
+            part = slice(a, a + (1 << b))
+            out[r].append(PrefixCode.of_table(b, packed[part], symbols[part], taken[part], m))
+        for r, s, k in zip(*(x[lone & ~wrong].tolist() for x in (np.arange(n), first, size))):
+            out[r].append(_lone(k, s))
+    wrong |= pos > held.end
+    for i, (p, bad) in enumerate(zip((pos - held.base).tolist(), wrong.tolist())):
+        if bad:  # read alone, it says what is wrong
+            out[i] = _attempt(read_prefix_codes, *asked[i])
+        else:
+            streams[i].pos = p
+    return out
+
+
+def _attempt(read, *given):
+    try:
+        return read(*given)
+    except (ValueError, IndexError) as problem:
+        return problem
+
+
 def joined(pixels: np.ndarray) -> np.ndarray:
     """Pixels as 32-bit ARGB numbers."""
     return np.ascontiguousarray(pixels).view(">u4")[..., 0].astype(np.uint32)
@@ -203,15 +363,21 @@ def split(argb: np.ndarray) -> np.ndarray:
     return argb.astype(">u4").view(np.uint8).reshape(*argb.shape, 4)
 
 
+#: A reader that says what it needs next, as a function for many readers and its own arguments, and is sent it.
+Reading = Generator[tuple[Callable[[list], list], tuple], list, object]
 #: Extra bits behind the prefix of a length or of a distance, by prefix.
 _EXTRA = np.array([0 if k < 4 else (k - 2) >> 1 for k in range(40)], np.int64)
 
 
 def _span(words: np.ndarray, at: np.ndarray, prefix: np.ndarray) -> np.ndarray:
     """Lengths or distance codes from their prefixes and the extra bits at ``at``."""
+    return _span_of(words[at].astype(np.int64), prefix)
+
+
+def _span_of(words: np.ndarray, prefix: np.ndarray) -> np.ndarray:
+    """Lengths or distance codes from their prefixes and the bits that follow."""
     extra = _EXTRA[prefix]
-    value = words[at].astype(np.int64) & ((1 << extra) - 1)
-    return np.where(prefix < 4, prefix + 1, ((2 + (prefix & 1)) << extra) + value + 1)
+    return np.where(prefix < 4, prefix + 1, ((2 + (prefix & 1)) << extra) + (words & (1 << extra) - 1) + 1)
 
 
 class _Window:
@@ -341,14 +507,144 @@ def _tokens(bits: Bits, groups: list[list[PrefixCode]], group_of: list[int] | No
     return [np.concatenate(x) if len(parts) > 1 else x[0] for x in zip(*parts)]
 
 
+#: So many images have their tokens read side by side; the longest ones, that are left in the end, go on one by one.
+TOGETHER = 64
+
+
+#: What is added to the symbols of distances where they share a table with the green ones.
+FAR = 4096
+
+
+def _stepping(code: PrefixCode, distance: PrefixCode) -> tuple[np.ndarray, int]:
+    """The tables of green symbols and of distances behind each other, equally long; entries take their extra bits too."""
+    size = max(len(code.packed), len(distance.packed))
+    green, far = (np.tile(c.packed, size // len(c.packed)) for c in (code, distance))
+    if code.most > 255:
+        ref = np.flatnonzero((green >= 256 << 8) & (green < 280 << 8))
+        green[ref] += _EXTRA[(green[ref] >> 8) - 256].astype(np.int32)
+    far += (FAR << 8) + _EXTRA[far >> 8].astype(np.int32)
+    return np.concatenate([green, far]), size
+
+
+def _side_by_side(streams: tuple[Bits, ...], codes: tuple[list[PrefixCode], ...], totals: tuple[int, ...]) -> tuple[list[tuple], list[int]]:
+    """The first tokens of many images with one group of codes each, as in ``_tokens``, and the pixels they give.
+
+    One symbol of every image, with the samples behind a literal, is read at a time, until fewer than ``TOGETHER``
+    images are left.  Which images are done is seen every few symbols; what was read beyond their ends falls.
+    """
+    held, n = _Streams(streams), len(streams)
+    at = held.at
+    stepping = [_stepping(c[0], c[4]) for c in codes]
+    table = np.concatenate([t for t, _ in stepping])
+    size = np.array([m for _, m in stepping])
+    low = 2 * (np.cumsum(size) - size)
+    tables, off, mask = [], [], []
+    samples = any(code.bits for c in codes for code in c[1:4])
+    for place in zip(*(c[1:4] for c in codes)) if samples else ():
+        tables.append(np.concatenate([code.packed for code in place]))
+        sizes = np.array([len(code.packed) for code in place])
+        off.append(np.cumsum(sizes) - sizes)
+        mask.append(sizes - 1)
+    total, got = np.array(totals), np.zeros(n, np.int64)
+    row, p, here, most = np.arange(n), held.pos.copy(), low, size - 1
+    parts: list[tuple[np.ndarray, ...]] = []
+    while len(row) >= TOGETHER:
+        for _ in range(8):
+            word = at(p)
+            g = table.take(here + (word & most))
+            taken = g & 255
+            after = p + taken
+            if samples:
+                red = tables[0].take(off[0] + (word >> taken & mask[0]))
+                place = after + (red & 255)
+                word = at(place)
+                blue = tables[1].take(off[1] + (word & mask[1]))
+                taken = blue & 255
+                alpha = tables[2].take(off[2] + (word >> taken & mask[2]))
+                after = np.where(g < 256 << 8, place + taken + (alpha & 255), after)
+                parts.append((row, g, after, red, blue, alpha))
+            else:
+                parts.append((row, g, after))
+            p = after
+            ref = (g >= 256 << 8) & (g < 280 << 8)  # a distance follows
+            here = low + ref * (most + 1)
+        seen, ends = (np.stack([part[k] for part in parts[-8:]]) for k in (1, 2))
+        run = np.ones(seen.shape, np.int64)
+        run[seen >= FAR << 8] = 0
+        refs = np.nonzero((seen >= 256 << 8) & (seen < 280 << 8))
+        prefix = (seen[refs] >> 8) - 256
+        run[refs] = _span_of(at(ends[refs] - _EXTRA[prefix]), prefix)
+        got[row] += run.sum(axis=0)
+        on = ((got[row] < total[row]) | ref) & (p <= held.end[row])
+        if not on.all():
+            row, p, here, low, most = (x[on] for x in (row, p, here, low, most))
+            off, mask = [x[on] for x in off], [x[on] for x in mask]
+    owner, g, ends, *found = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(owner.astype(np.uint16) if n < 1 << 16 else owner, kind="stable")
+    owner, g, ends = owner[order], g[order], ends[order]
+    symbol = g >> 8
+    if samples:
+        red, blue, alpha = (x[order] >> 8 for x in found)
+        argb = alpha << 24 | red << 16 | symbol << 8 | blue
+    else:  # the other samples have no bits
+        rest = [sum(int(c.symbols[0]) << shift for c, shift in zip(own[1:4], (16, 0, 24))) for own in codes]
+        argb = symbol << 8 | np.array(rest, np.uint32).view(np.int32)[owner]
+    argb = np.where(symbol < 256, argb, 0).view(np.uint32)
+    far = symbol >= FAR
+    run, dist = np.where(far, 0, 1), np.zeros(len(g), np.int64)
+    ref = np.flatnonzero((symbol > 255) & (symbol < 280))
+    prefix = symbol[ref] - 256
+    run[ref] = _span_of(at(ends[ref] - _EXTRA[prefix]), prefix)
+    before = np.cumsum(run) - run
+    many = np.bincount(owner, minlength=n)
+    before -= before[np.cumsum(many) - many][owner]
+    kept = (before < total[owner]) & ~far
+    paired = np.append(far[1:], False)[ref]
+    kept[ref[~paired]] = False  # its distance was not read
+    ref = ref[paired]
+    prefix = symbol[ref + 1] - FAR
+    dist[ref] = _span_of(at(ends[ref + 1] - _EXTRA[prefix]), prefix)
+    ends[ref] = ends[ref + 1]
+    owner, symbol, argb, run, dist, ends, before = (x[kept] for x in (owner, symbol, argb, run, dist, ends, before))
+    cuts = np.cumsum(np.bincount(owner, minlength=n))
+    for bits, end in zip(streams, (ends[cuts - 1] - held.base).tolist()):
+        bits.pos = end
+    return list(zip(*(np.split(x, cuts[:-1]) for x in (symbol, argb, run, dist)))), (before + run)[cuts - 1].tolist()
+
+
+def tokens_of_all(asked: list[tuple[Bits, list[list[PrefixCode]], list[int] | None, int]]) -> list[list[np.ndarray] | ValueError | IndexError]:
+    """What ``_tokens`` gives for each image, or what is wrong; images with one group of codes are read side by side."""
+    out: list = [None] * len(asked)
+    kinds: dict[bool, list[int]] = {}
+    for i, (_, groups, group_of, _) in enumerate(asked):
+        if group_of is None:
+            kinds.setdefault(any(code.bits for code in groups[0][1:4]), []).append(i)
+    for places in kinds.values():
+        if len(places) < TOGETHER:
+            continue
+        tokens, done = _side_by_side(*zip(*((asked[i][0], asked[i][1][0], asked[i][3]) for i in places)))
+        for i, token, n in zip(places, tokens, done):
+            bits, groups, _, total = asked[i]
+            try:
+                bits.require()
+                if n > total:
+                    raise ValueError("a reference leaves the image")
+                if n < total:
+                    token = [np.concatenate(x) for x in zip(token, _tokens(bits, groups, None, total - n))]
+                out[i] = list(token)
+            except (ValueError, IndexError) as problem:
+                out[i] = problem
+    return [_attempt(_tokens, *x) if found is None else found for found, x in zip(out, asked)]
+
+
 @lru_cache(maxsize=64)
 def _places(width: int) -> np.ndarray:
     """Distances of the short codes from 1 on."""
     return np.array([0, *(max(1, x + y * width) for x, y in NEAR_PLACES)])
 
 
-def read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
-    """An entropy-coded image as 32-bit ARGB numbers, ``(height, width)``."""
+def read_image(bits: Bits, width: int, height: int, main: bool) -> Reading:
+    """An entropy-coded image as 32-bit ARGB numbers, ``(height, width)``; asks for its codes and tokens."""
     cache_bits = bits.read(4) if bits.read(1) else 0
     if cache_bits > 11:
         raise ValueError("colour cache too large")
@@ -357,22 +653,23 @@ def read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
         tile = bits.read(3) + 2
         across = (width + (1 << tile) - 1) >> tile
         down = (height + (1 << tile) - 1) >> tile
-        numbers = (read_image(bits, across, down, False) >> 8) & 0xFFFF
+        numbers = ((yield from read_image(bits, across, down, False)) >> 8) & 0xFFFF
         many = int(numbers.max()) + 1
         group_of = numbers.repeat(1 << tile, 0).repeat(1 << tile, 1)[:height, :width].reshape(-1).tolist()
     sizes = (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
-    groups = [read_prefix_codes(bits, sizes) for _ in range(many)]
+    groups = [read_prefix_codes(bits, sizes) for _ in range(many)] if many > 1 else [(yield read_codes_of_all, (bits, sizes))]
     total = width * height
     if many == 1:
         group_of = None
         lone = groups[0][:4]
         if not any(c.bits for c in lone):  # no bits at all: one colour
+            bits.require()
             green, red, blue, alpha = (int(c.symbols[0]) for c in lone)
             if 256 <= green < 280:
                 raise ValueError("a reference leaves the image")
             # A place of the cache that nothing was put in is transparent black.
             return np.full((height, width), alpha << 24 | red << 16 | green << 8 | blue if green < 256 else 0, np.uint32)
-    symbol, argb, run, dist = _tokens(bits, groups, group_of, total)
+    symbol, argb, run, dist = yield tokens_of_all, (bits, groups, group_of, total)
     short = _places(width)
     dist = np.where(dist > 120, dist - 120, short[np.minimum(dist, 120)])
     after = np.cumsum(run)
@@ -546,6 +843,34 @@ def _lossless_chunk(data: bytes) -> bytes:
 
 def decode(data: bytes) -> tuple[np.ndarray, bool]:
     """Pixels ``(height, width, 4)`` of a lossless WebP file, simple or extended (one still image), and its alpha hint."""
+    (found,) = decode_all([data])
+    if isinstance(found, Exception):
+        raise found
+    return found
+
+
+def decode_all(files: list[bytes]) -> list[tuple[np.ndarray, bool] | ValueError | IndexError]:
+    """What ``decode`` gives for each file, or the error it raises; codes and tokens are read for all files together."""
+    out: list = [None] * len(files)
+    going = [(i, _decoding(data), None) for i, data in enumerate(files)]
+    while going:
+        asked: dict = {}
+        for i, reading, answer in going:
+            try:
+                needed, given = reading.throw(answer) if isinstance(answer, Exception) else reading.send(answer)
+                asked.setdefault(needed, []).append((i, reading, given))
+            except StopIteration as end:
+                out[i] = end.value
+            except (ValueError, IndexError) as problem:
+                out[i] = problem
+        going = []
+        for needed, readers in asked.items():
+            answers = needed([given for _, _, given in readers])
+            going += [(i, reading, answer) for (i, reading, _), answer in zip(readers, answers)]
+    return out
+
+
+def _decoding(data: bytes) -> Reading:
     bits = Bits(_lossless_chunk(data))
     if bits.read(8) != 0x2F:
         raise ValueError("bad signature")
@@ -560,7 +885,7 @@ def decode(data: bytes) -> tuple[np.ndarray, bool]:
         seen.add(kind)
         if kind == PALETTE:
             colours = bits.read(8) + 1
-            table = split(read_image(bits, colours, 1, False))[0]
+            table = split((yield from read_image(bits, colours, 1, False)))[0]
             undo.append((kind, np.cumsum(table, axis=0, dtype=np.uint8), width))
             pack = _bundle(colours)
             width = (width + (1 << pack) - 1) >> pack
@@ -569,8 +894,8 @@ def decode(data: bytes) -> tuple[np.ndarray, bool]:
         else:
             tile = bits.read(3) + 2
             across, down = (width + (1 << tile) - 1) >> tile, (height + (1 << tile) - 1) >> tile
-            undo.append((kind, split(read_image(bits, across, down, False)), tile))
-    pixels = split(read_image(bits, width, height, True))
+            undo.append((kind, split((yield from read_image(bits, across, down, False))), tile))
+    pixels = split((yield from read_image(bits, width, height, True)))
     for kind, table, n in reversed(undo):
         if kind == PALETTE:
             pack = _bundle(len(table))
