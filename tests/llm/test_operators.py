@@ -325,6 +325,17 @@ def test_texts_are_written_and_read_together(monkeypatch):
         assert webp.samples_of(pixels, alpha).tobytes()[: len(p)] == p
 
 
+def test_few_pixels_are_read_together(monkeypatch):
+    payloads, held, real = some_payloads(120), [], webp_read._decode_group
+    media = webp.encode_payloads(payloads)
+    monkeypatch.setattr(webp_read, "MOST_TOGETHER", 20_000)
+    monkeypatch.setattr(webp_read, "_decode_group", lambda files: held.append([webp_read._declared(m) for m in files]) or real(files))
+    for p, m, (pixels, alpha) in zip(payloads, media, webp_read.decode_all(media), strict=True):
+        assert webp_read._declared(m) == pixels.shape[0] * pixels.shape[1]
+        assert webp.samples_of(pixels, alpha).tobytes()[: len(p)] == p
+    assert len(held) > 2 and all(len(g) == 1 or sum(g) <= 20_000 for g in held)
+
+
 def test_broken_files_among_others():
     payloads = some_payloads(400)
     media = webp.encode_payloads(payloads)

@@ -549,6 +549,7 @@ def _side_by_side(streams: tuple[Bits, ...], codes: tuple[list[PrefixCode], ...]
     row, p, here, most = np.arange(n), held.pos.copy(), low, size - 1
     parts: list[tuple[np.ndarray, ...]] = []
     while len(row) >= TOGETHER:
+        few: list[tuple[np.ndarray, ...]] = []
         for _ in range(8):
             word = at(p)
             g = table.take(here + (word & most))
@@ -562,13 +563,18 @@ def _side_by_side(streams: tuple[Bits, ...], codes: tuple[list[PrefixCode], ...]
                 taken = blue & 255
                 alpha = tables[2].take(off[2] + (word >> taken & mask[2]))
                 after = np.where(g < 256 << 8, place + taken + (alpha & 255), after)
-                parts.append((row, g, after, red, blue, alpha))
+                few.append((g, after, red, blue, alpha))
             else:
-                parts.append((row, g, after))
+                few.append((g, after))
             p = after
             ref = (g >= 256 << 8) & (g < 280 << 8)  # a distance follows
             here = low + ref * (most + 1)
-        seen, ends = (np.stack([part[k] for part in parts[-8:]]) for k in (1, 2))
+        seen, ends, *rest = (np.stack(x) for x in zip(*few))
+        argb = seen >> 8 << 8
+        if rest:
+            red, blue, alpha = (x >> 8 for x in rest)
+            argb |= alpha << 24 | red << 16 | blue
+        parts.append((np.tile(row.astype(np.int32), 8), seen.ravel(), ends.ravel(), argb.ravel()))
         run = np.ones(seen.shape, np.int64)
         run[seen >= FAR << 8] = 0
         refs = np.nonzero((seen >= 256 << 8) & (seen < 280 << 8))
@@ -579,16 +585,14 @@ def _side_by_side(streams: tuple[Bits, ...], codes: tuple[list[PrefixCode], ...]
         if not on.all():
             row, p, here, low, most = (x[on] for x in (row, p, here, low, most))
             off, mask = [x[on] for x in off], [x[on] for x in mask]
-    owner, g, ends, *found = (np.concatenate(x) for x in zip(*parts))
+    owner, g, ends, argb = (np.concatenate(x) for x in zip(*parts))
+    parts.clear()
     order = np.argsort(owner.astype(np.uint16) if n < 1 << 16 else owner, kind="stable")
-    owner, g, ends = owner[order], g[order], ends[order]
+    owner, g, ends, argb = owner[order], g[order], ends[order], argb[order]
     symbol = g >> 8
-    if samples:
-        red, blue, alpha = (x[order] >> 8 for x in found)
-        argb = alpha << 24 | red << 16 | symbol << 8 | blue
-    else:  # the other samples have no bits
+    if not samples:  # the other samples have no bits
         rest = [sum(int(c.symbols[0]) << shift for c, shift in zip(own[1:4], (16, 0, 24))) for own in codes]
-        argb = symbol << 8 | np.array(rest, np.uint32).view(np.int32)[owner]
+        argb |= np.array(rest, np.uint32).view(np.int32)[owner]
     argb = np.where(symbol < 256, argb, 0).view(np.uint32)
     far = symbol >= FAR
     run, dist = np.where(far, 0, 1), np.zeros(len(g), np.int64)
@@ -849,8 +853,34 @@ def decode(data: bytes) -> tuple[np.ndarray, bool]:
     return found
 
 
+#: Pixels of the files that are read together, bar a larger one.
+MOST_TOGETHER = 1 << 21
+
+
 def decode_all(files: list[bytes]) -> list[tuple[np.ndarray, bool] | ValueError | IndexError]:
-    """What ``decode`` gives for each file, or the error it raises; codes and tokens are read for all files together."""
+    """What ``decode`` gives for each file, or the error it raises; about ``MOST_TOGETHER`` pixels are read together."""
+    out, group, held = [], [], 0
+    for data in files:
+        pixels = _declared(data)
+        if group and held + pixels > MOST_TOGETHER:
+            out += _decode_group(group)
+            group, held = [], 0
+        group.append(data)
+        held += pixels
+    return out + _decode_group(group)
+
+
+def _declared(data: bytes) -> int:
+    """The pixels that a file says it has."""
+    try:
+        sides = int.from_bytes(_lossless_chunk(data)[1:5], "little")
+    except ValueError:
+        return 0
+    return ((sides & 0x3FFF) + 1) * ((sides >> 14 & 0x3FFF) + 1)
+
+
+def _decode_group(files: list[bytes]) -> list[tuple[np.ndarray, bool] | ValueError | IndexError]:
+    """Files whose codes and tokens are read together."""
     out: list = [None] * len(files)
     going = [(i, _decoding(data), None) for i, data in enumerate(files)]
     while going:
